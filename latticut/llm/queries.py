@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, html, licenses, near_dups, packing, quality_rules
+from . import bpe, classify, html, licenses, near_dups, packing, quality_rules, substrings
 from .base import table
 
 
@@ -53,6 +53,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, inter=85, union=100)
 
@@ -61,5 +66,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_licenses, op4_toxicity, op5_quality, op6_html, op7_packing, op9_near_dups, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_licenses, op4_toxicity, op5_quality, op6_html, op7_packing, op8_substrings, op9_near_dups, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -174,8 +174,8 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, block_bytes: int = 6 << 20, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (the id, unless given) of every row, and kept (binary), n_bytes, n_removed, n_spans, and the removed spans' starts and ends."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, block_bytes: int = 6 << 20, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """The columns keep (the id, unless given) of every row, and kept (binary; as_text: a string, without characters that were cut), n_bytes, n_removed, n_spans, and the removed spans' starts and ends."""
     spark = docs.sparkSession
     length, left = min_bytes, min_bytes - K
     if not K < length <= 200:
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a = b
         return _blobs(out, kinds)
 
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]
 
     def cover(group: pa.Table, runs: pa.Table) -> pa.Table:
         wanted, keys, first, last, low = (_joined(runs.column(c), t) if runs.num_rows else np.zeros(0, t) for c, t in (("h", np.uint64), ("context", np.uint64), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(part[x:y][~out].tobytes() if len(s) else part[x:y].tobytes())
                 numbers.append((int(y - x), int(out.sum()), len(s)))
                 spans.append((s.tolist(), e.tolist()))
-        columns = [group.column(f"k_{c}") for c in keep] + [pa.array(kept, pa.binary())] + [pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)] + [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
+        columns = [group.column(f"k_{c}") for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())] + [pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)] + [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
     sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, h binary, several binary")

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,9 @@ from .suffixes import suffix_array
 K = 16
 #: Texts are hashed in parts of about so many bytes, to bound a worker's memory.
 PART = 1 << 20
+#: Bits of a hash that are sent besides its bucket. Buckets hold a bounded number of hashes, so two
+#: hashes seldom look alike; if they do, they make a candidate more, which the contexts then tell apart.
+SENT = np.uint64(39)
 NEVER = np.iinfo(np.int64).max
 _WEIGHTS = mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
@@ -111,7 +115,7 @@ def shared_windows(matrix: np.ndarray, smallest: np.ndarray, length: int) -> np.
     offs = np.arange(left + 1)
     valid = (offs <= before[:, None]) & (length - offs <= after[:, None])
     out = np.where(valid, smallest[:, None], NEVER)
-    _, group, counts = np.unique(Rolling(matrix[:, left : left + K].ravel()).slices(np.arange(len(matrix)) * K, np.arange(1, len(matrix) + 1) * K), return_inverse=True, return_counts=True)
+    _, group, counts = np.unique(_anchor_hashes(matrix, left), return_inverse=True, return_counts=True)
     several = np.flatnonzero(counts[group] > 1)
     if not len(several):
         return out
@@ -158,6 +162,34 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h & ((np.uint64(1) << SENT) - np.uint64(1))
+
+
+def _five_bytes(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(x), kind) for x in column.to_pylist()]
+
+
+def _anchor_hashes(matrix: np.ndarray, left: int) -> np.ndarray:
+    """The hash of each context's anchor."""
+    n = len(matrix)
+    return Rolling(matrix[:, left : left + K].ravel()).slices(np.arange(n) * K, np.arange(1, n + 1) * K)
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     b = _bucket(h, buckets)
     order = np.argsort(b, kind="stable")
@@ -208,36 +240,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         h, ids = h[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
-        h, out = h[first], {"bucket": [], "block": [], "h": [], "several": []}
+        h, out = h[first], {"bucket": [], "block": [], "h": []}
         block = group.column("block")[0].as_py()
         for bucket, part in _by_bucket(h, n_blocks):
             out["bucket"].append(bucket)
             out["block"].append(block)
-            out["h"].append(h[part].tobytes())
-            out["several"].append(several[part].astype(np.uint8).tobytes())
-        return _blobs(out, {"bucket": pa.int32(), "block": pa.int32(), "h": pa.binary(), "several": pa.binary()})
+            out["h"].append(_five_bytes(_short(h[part]) | (several[part].astype(np.uint64) << SENT)))
+        return _blobs(out, {"bucket": pa.int32(), "block": pa.int32(), "h": pa.binary()})
 
     def find_shared(group: pa.Table) -> pa.Table:
-        h, several = _joined(group.column("h"), np.uint64), _joined(group.column("several"), np.uint8)
+        sent = _from_five(b"".join(group.column("h").to_pylist()))
+        h, several = _short(sent), (sent >> SENT).astype(np.int64)
         found, at, counts = np.unique(h, return_inverse=True, return_counts=True)
         shared = (counts > 1) | (np.bincount(at, weights=several, minlength=len(found)) > 0)
-        mine, out, a = shared[at], {"block": [], "h": []}, 0
+        mine, out, a = shared[at], {"block": [], "bucket": [], "h": []}, 0
+        bucket = group.column("bucket")[0].as_py()
         for block, blob in zip(group.column("block").to_pylist(), group.column("h").to_pylist(), strict=True):
-            b = a + len(blob) // 8
+            b = a + len(blob) // 5
             if mine[a:b].any():
                 out["block"].append(block)
-                out["h"].append(h[a:b][mine[a:b]].tobytes())
+                out["bucket"].append(bucket)
+                out["h"].append(_five_bytes(h[a:b][mine[a:b]]))
             a = b
-        return _blobs(out, {"block": pa.int32(), "h": pa.binary()})
+        return _blobs(out, {"block": pa.int32(), "bucket": pa.int32(), "h": pa.binary()})
 
     def send_contexts(group: pa.Table, shared: pa.Table) -> pa.Table:
-        kinds = {"bucket": pa.int32(), "block": pa.int32(), "h": pa.binary(), "low": pa.binary(), "high": pa.binary(), "context": pa.binary()}
+        kinds = {"bucket": pa.int32(), "block": pa.int32(), "low": pa.binary(), "high": pa.binary(), "context": pa.binary()}
         out: dict[str, list] = {k: [] for k in kinds}
-        wanted = np.unique(_joined(shared.column("h"), np.uint64)) if shared.num_rows else np.zeros(0, np.uint64)
+        wanted = {bucket: np.sort(_from_five(h)) for bucket, h in zip(shared.column("bucket").to_pylist(), shared.column("h").to_pylist(), strict=True)} if shared.num_rows else {}
         if group.num_rows and len(wanted):
             found: list[tuple] = []
             for data, offs, ids, at, owner, h in texts(group):
-                some = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                some = np.zeros(len(h), bool)
+                for bucket, part in _by_bucket(h, n_blocks):
+                    if bucket in wanted:
+                        some[part] = np.isin(_short(h[part]), wanted[bucket])
                 if some.any():
                     matrix = contexts(data, offs, at[some], owner[some], length)
                     found.append(_distinct(context_hash(matrix), h[some], ids[owner[some]], ids[owner[some]], matrix))
@@ -245,23 +282,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 _, h, low, high, matrix = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 block = group.column("block")[0].as_py()
                 for bucket, part in _by_bucket(h, n_blocks):
-                    for k, v in zip(kinds, (bucket, block, h[part].tobytes(), low[part].tobytes(), high[part].tobytes(), matrix[part].tobytes()), strict=True):
+                    for k, v in zip(kinds, (bucket, block, _packed(low[part]), _packed(high[part]), _packed(matrix[part])), strict=True):
                         out[k].append(v)
         return _blobs(out, kinds)
 
     def compare(group: pa.Table) -> pa.Table:
         kinds = {"block": pa.int32(), "h": pa.binary(), "context": pa.binary(), "first": pa.binary(), "last": pa.binary(), "low": pa.binary()}
         out: dict[str, list] = {k: [] for k in kinds}
-        h, low, high = (_joined(group.column(c), t) for c, t in (("h", np.uint64), ("low", np.int64), ("high", np.int64)))
-        matrix = np.frombuffer(b"".join(group.column("context").to_pylist()), np.uint8).reshape(len(h), -1)
-        keys = context_hash(np.ascontiguousarray(matrix))
+        each = _unpacked(group.column("low"), np.int64)
+        low, high = np.concatenate(each), np.concatenate(_unpacked(group.column("high"), np.int64))
+        matrix = np.concatenate(_unpacked(group.column("context"), np.uint8)).reshape(len(low), -1)
+        h, keys = _anchor_hashes(matrix, left), context_hash(matrix)
         found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         smallest = np.full(len(found), NEVER)
         np.minimum.at(smallest, at, low)
         windows = shared_windows(np.ascontiguousarray(matrix[first]), smallest, length)
         a = 0
-        for block, blob in zip(group.column("block").to_pylist(), group.column("h").to_pylist(), strict=True):
-            b = a + len(blob) // 8
+        for block, count in zip(group.column("block").to_pylist(), map(len, each), strict=True):
+            b = a + count
             table = np.where(windows[at[a:b]] < high[a:b, None], windows[at[a:b]], NEVER)
             padded = np.full((b - a, left + 3), NEVER)
             padded[:, 1:-1] = table
@@ -308,9 +346,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = [group.column(f"k_{c}") for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())] + [pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)] + [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, h binary, several binary")
-    shared = sent.groupBy("bucket").applyInArrow(find_shared, "block int, h binary")
-    held = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_contexts, "bucket int, block int, h binary, low binary, high binary, context binary")
+    sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, h binary")
+    shared = sent.groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, h binary")
+    held = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_contexts, "bucket int, block int, low binary, high binary, context binary")
     runs = held.groupBy("bucket").applyInArrow(compare, "block int, h binary, context binary, first binary, last binary, low binary")
     return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(cover, T.StructType(fields))
 

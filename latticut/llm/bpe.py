@@ -61,7 +61,8 @@ def stitch(text: str, chunks: list[tuple[int, list[int]]], pattern: regex.Patter
     cuts: list[int] = []
     known = [chunks[0][0] + x for x in chunks[0][1]]
     for start, ends in chunks[1:]:
-        there = {start + x for x in ends}
+        # after white space a piece's last match could come out longer than in the whole text
+        there = {start + x for x in ends if start + x > 0 and not text[start + x - 1].isspace()}
         meet = next((x for x in known[bisect_left(known, start) :] if x in there), None)
         if meet is None:
             for match in pattern.finditer(text, known[-1]):

@@ -37,7 +37,7 @@ def supply_graph(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """n (in the order of the file) and line, comments left out. One file is one read task, so its order is kept."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split(F.regexp_replace("value", "\\r", ""), "\n")).alias("n", "line"))
     return lines.where(~F.col("line").startswith("%"))
 

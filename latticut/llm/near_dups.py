@@ -4,9 +4,10 @@ A document's set is its distinct word shingles. Sketching throws the whole set i
 rounds, each round by a new hash, and a bin keeps the least value of the first round that reached it;
 after as many rounds as bins, round t + j throws everything into bin j, so every bin fills. Equal
 sets are one class from the start. Bands of the classes' sketches make candidate buckets; each
-bucket's members are verified against its least member on their full sets, and then members of a
-bucket that are not connected yet are verified against each other, so no link is lost because a
-bucket is large. Components are the connected classes.
+bucket's members are verified against its least member on their full sets. Members of buckets that
+are not all connected then are compared further: pairs of other components that share one of their
+rarest shingles, without which no two sets can be so similar, are verified too. So no link is lost
+because a bucket is large, and large groups don't make all pairs. Components are the connected classes.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing, nor
 with each other. A text of fewer words than a shingle has one shingle, the whole sequence. Rows that
@@ -28,6 +29,8 @@ BINS, BANDS = 120, 24
 #: Of 120 one-bit sketch positions, a pair at similarity 0.85 differs in 9 on average, with a standard
 #: deviation of 2.9; pairs that differ in more than this (5.9 deviations) aren't verified.
 MOST_BITS = 26
+#: Items that more sets have among their rarest are compared in blocks of BLOCK sets, and no pairs are made.
+FEW, BLOCK = 24, 256
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +155,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, inter: int, union: int) -> Data
     return counted.where(union * F.col("shared") >= inter * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _rarest(sets: DataFrame, inter: int, union: int) -> DataFrame:
+    """For each set its rarest items, so many that two sets which are linked have one of them in common; a row an item.
+
+    Of a linked pair, each set shares at least inter / union of its items with the other, so among the
+    first of all items in any order that is the same for all sets, one more than may be missing, there
+    is a common one. In the order from rare to frequent, the items that all of a large group have come last.
+    """
+    items = sets.select("rep", F.explode("items").alias("item"))
+    frequent = items.groupBy("item").agg(F.count("*").alias("count")).where("count > 1")
+    counted = items.join(frequent, "item", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "item"))).alias("ordered"))
+    rows = counted.join(sets.drop("items"), "rep")
+    # the least overlap is ceil(n * inter / union)
+    length = F.col("n") - F.ceil(F.col("n") * inter / union).cast("long") + 1
+    first = F.filter(F.slice("ordered", 1, F.least(F.col("n"), length + 1).cast("int")), lambda s: s["count"] > 1)
+    return rows.select(*[c for c in sets.columns if c != "items"], F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
+
+
+def _linked_in_blocks(rows: DataFrame, inter: int, union: int) -> DataFrame:
+    """Links (a, b) between sets of one item and different components, from rows of item, count, rep, component, items.
+
+    An item's sets are dealt to blocks, and each two blocks meet in one group, which compares all of
+    their pairs and returns only links that connect what is not connected yet.
+    """
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = dealt.select("item", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "items")
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, own, component = (group.column(c).to_numpy() for c in ("rep", "own", "component"))
+        items = group.column("items").combine_chunks()
+        counts = np.diff(items.offsets.to_numpy())
+        _, number = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(rep)), counts)
+        shared = np.zeros((len(rep), len(rep)), np.float32)
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        for start in range(0, int(number[-1]) + 1, 4096):
+            a, b = np.searchsorted(number, [start, start + 4096])
+            part = np.zeros((len(rep), 4096), np.float32)
+            part[owner[a:b], number[a:b] - start] = 1
+            shared += part @ part.T
+        linked = union * shared >= inter * (counts[:, None] + counts[None, :] - shared)
+        linked &= component[:, None] != component[None, :]
+        if own.min() != own.max():
+            linked &= own[:, None] != own[None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            x, y = root(int(component[i])), root(int(component[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        table = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(table[:, 0]), "b": pa.array(table[:, 1])})
+
+    return keyed.groupBy("item", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node and component, its least reachable node, of every node of an edge (a, b); by label propagation with pointer jumping."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -193,14 +260,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(_verified(star, sets, inter, union), "links")
     labels = components(edges)
 
-    # what a bucket holds beyond one component is verified pairwise across components
+    # what buckets hold beyond one component is searched for links across components
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", "b1", "b2", F.coalesce("component", "rep").alias("component"))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = written(named.join(split, "band"), "open")
-    x, y = (open_.select("band", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "n", "b1", "b2", "component")]) for s in ("x", "y"))
-    across = x.join(y, (x["band"] == y["band"]) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & small("x", "y") & sized(F.col("xn"), F.col("yn")))
+    open_ = written(named.join(split, "band").select("rep", "n", "b1", "b2", "component").dropDuplicates(["rep"]), "open")
+    prefixes = written(_rarest(sets.join(open_, "rep"), inter, union), "prefixes")
+    frequent = prefixes.groupBy("item").agg(F.count("*").alias("count"))
+    few = prefixes.join(frequent.where(F.col("count") <= FEW).select("item"), "item")
+    x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "n", "b1", "b2", "component")]) for s in ("x", "y"))
+    across = x.join(y, (x["item"] == y["item"]) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & small("x", "y") & sized(F.col("xn"), F.col("yn")))
     rest = across.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(_verified(written(rest, "across"), sets, inter, union), "links")
+    within = _linked_in_blocks(prefixes.select("item", "rep", "component").join(frequent.where(F.col("count") > FEW), "item").join(sets, "rep"), inter, union)
+    more = written(_verified(written(rest, "across"), sets, inter, union).union(within), "links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     classes = reps.select("f1", "f2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))

@@ -172,7 +172,7 @@ ORACLE_SQL = {
     "t1_components_in_parts": f"WITH RECURSIVE {_SPARSE}, {_A}, c AS (SELECT * FROM a WHERE src % 5 = dst % 5), r AS (SELECT src AS id, src AS reach FROM a UNION SELECT r.id, c.dst FROM r JOIN c ON r.reach = c.src) SELECT id, min(reach) AS comp FROM r GROUP BY id",
     "t4_bfs_levels": f"WITH RECURSIVE {_E}, {_A}, r AS (SELECT min(src) AS id, CAST(0 AS BIGINT) AS level FROM e UNION SELECT a.dst, level + 1 FROM r JOIN a ON a.src = r.id WHERE level < 12) SELECT id, min(level) AS level FROM r GROUP BY id",
     "f2_active_edges": f"WITH {_E}, {_A} SELECT * FROM a WHERE src % 3 = dst % 3",
-    "c2_walk_step": f"WITH {_E}, {_A}, {_V}, {_X}, c AS (SELECT * FROM a WHERE src % 3 = dst % 3), d AS (SELECT src, sum(w) AS d FROM c GROUP BY src), i AS (SELECT c.src, sum(w * x / d) AS inflow FROM c JOIN x ON c.dst = x.id JOIN d ON c.dst = d.src GROUP BY c.src) SELECT id, comp, round(CASE WHEN inflow IS NULL THEN x ELSE 0.1 * x + 0.9 * inflow END, 6) AS x FROM x LEFT JOIN i ON x.id = i.src",
+    "c2_walk_step": f"WITH {_E}, {_A}, {_V}, {_X}, c AS (SELECT * FROM a WHERE src % 3 = dst % 3), i AS (SELECT c.src, sum(w * x) / sum(w) AS inflow FROM c JOIN x ON c.dst = x.id GROUP BY c.src) SELECT id, comp, round(CASE WHEN inflow IS NULL THEN x ELSE 0.1 * x + 0.9 * inflow END, 6) AS x FROM x LEFT JOIN i ON x.id = i.src",
     "c5_potentials": f"WITH {_E}, {_A}, {_V}, {_X}, m AS (SELECT *, avg(x) OVER (PARTITION BY comp) AS mean FROM x) SELECT comp, max(x) - min(x) AS spread, round(sum((x - mean) * (x - mean)), 2) AS l2, round(sum(degree * (x - mean) * (x - mean)), 1) AS weighted_l2 FROM m GROUP BY comp",
     "c6_sweep": f"{_SWEEP} SELECT comp, rank, id, cut, vol FROM sw",
     "c6_best_cuts": f"{_SWEEP}, t AS (SELECT comp, rank, size, cut / least(vol, whole - vol) AS sparsity FROM sw WHERE rank < size AND least(vol, whole - vol) > 0), o AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY sparsity, rank) AS n FROM t) SELECT comp, rank, round(CAST(sparsity AS DOUBLE), 9) AS sparsity, size FROM o WHERE n = 1",

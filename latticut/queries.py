@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cuts, traverse, walks
-from .plans import hierarchy
+from .plans import hierarchy, tree
 from .sources import graphs
 
 _E = f"e AS (SELECT CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey + {graphs.PART_BASE} AS BIGINT) AS dst, count(*) AS w FROM lineitem GROUP BY 1, 2)"
@@ -151,7 +151,60 @@ def q2_low_conductance_tree_edge(spark, d):
     return _edge(hierarchy.best_tree_edge(_star_tree(spark, d), "subtree_volume"))
 
 
-QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge)}
+def q3_two_way_tree_cut(spark, d):
+    t = _star_tree(spark, d)
+    cost, cut = tree.greedy_cut(t, 2)
+    return tree.edge_table(t, cut).select(F.round(F.lit(cost), 9).alias("cost"), F.col("level").cast("long").alias("level"), "node")
+
+
+def q4_greedy_tree_cut(spark, d):
+    t = _star_tree(spark, d)
+    cost, cut = tree.greedy_cut(t, 4)
+    return tree.edge_table(t, cut).select(F.round(F.lit(cost), 9).alias("cost"), F.col("level").cast("long").alias("level"), "node")
+
+
+def q5_dynamic_tree_cut(spark, d):
+    t = _star_tree(spark, d)
+    cost, cut = tree.dynamic_cut(t, 4)
+    return tree.edge_table(t, cut).select(F.round(F.lit(cost), 9).alias("cost"), F.col("level").cast("long").alias("level"), "node")
+
+
+def q9_labels_of_cut(spark, d):
+    return tree.labels_of_cut(_star_tree(spark, d), [(0, 3), (0, 7)])
+
+
+def p11_tree_graph(spark, d):
+    return tree.to_graph(_star_tree(spark, d))
+
+
+def j7_closure(spark, d):
+    return tree.closure(_star_tree(spark, d)).select(F.col("level").cast("long").alias("level"), "node", F.col("alevel").cast("long").alias("alevel"), "anode")
+
+
+def m1_least_tree_cut(spark, d):
+    t = _star_tree(spark, d)
+    return tree.least_tree_cut(t, t.where("level = 0").select((F.col("node") % 5).alias("sample"), F.col("node").alias("id")))
+
+
+def g8_margulis(spark, d):
+    return graphs.margulis(spark, 30)
+
+
+def c13_decompose(spark, d):
+    return hierarchy.decompose(_edges(spark, d, 2), 0.1)
+
+
+def c18_hierarchy(spark, d):
+    return hierarchy.hierarchy(_edges(spark, d, 2))
+
+
+def r13_normalized_cut(spark, d):
+    """The whole way: hierarchy, greedy cut of its tree into four, refined level by level, scored on the input."""
+    e = _edges(spark, d, 2)
+    return cuts.part_stats(e, hierarchy.solve(hierarchy.expand(e), 4))
+
+
+QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, c13_decompose, c18_hierarchy, r13_normalized_cut)}
 
 _SWEEP = f"""WITH {_E}, {_A}, {_V}, {_X}, r AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY x, id) AS rank FROM x),
 d AS (SELECT a.src AS id, sum(CASE WHEN y.rank > x.rank THEN w ELSE -w END) AS delta FROM a JOIN r x ON a.src = x.id JOIN r y ON a.dst = y.id WHERE x.comp = y.comp GROUP BY 1),
@@ -183,4 +236,10 @@ ORACLE_SQL = {
     "g7_lattice": "WITH p AS (SELECT range AS id, range // 40 AS r, range % 40 AS c FROM range(1600)) SELECT id AS src, id + dr * 40 + dc AS dst, CAST(1 AS BIGINT) AS w FROM p, (VALUES (0, 1), (1, 0), (1, 1)) m(dr, dc) WHERE r + dr < 40 AND c + dc < 40",
     "g6_clique_path": "SELECT a.range AS src, b.range AS dst, CAST(1 AS BIGINT) AS w FROM range(200) a, range(200) b WHERE a.range < b.range AND (a.range // 20 = b.range // 20 OR (a.range % 20 = 19 AND b.range = a.range + 1))",
     "g10_fur": "SELECT a.range AS src, b.range AS dst, CAST(1 AS BIGINT) AS w FROM range(60) a, range(120) b WHERE (a.range < b.range AND b.range < 60) OR b.range = a.range + 60",
+    "q3_two_way_tree_cut": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S}, t AS (SELECT part AS node, cut / volume + cut / ((SELECT sum(volume) FROM st) - volume) AS cost FROM st) SELECT round(CAST(cost AS DOUBLE), 9) AS cost, CAST(0 AS BIGINT) AS level, node FROM t ORDER BY t.cost, node LIMIT 1",
+    "q9_labels_of_cut": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S} SELECT part AS id, CAST(CASE part WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS BIGINT) AS part FROM st",
+    "p11_tree_graph": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S} SELECT row_number() OVER (ORDER BY part) - 1 AS src, (SELECT count(*) FROM st) AS dst, cut AS w FROM st",
+    "j7_closure": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S} SELECT CAST(0 AS BIGINT) AS level, part AS node, CAST(l AS BIGINT) AS alevel, CAST(CASE l WHEN 0 THEN part ELSE 0 END AS BIGINT) AS anode FROM st, (VALUES (0), (1)) x(l) UNION ALL SELECT 1, 0, 1, 0",
+    "m1_least_tree_cut": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S}, p AS (SELECT sample, sum(CASE WHEN part % 5 = sample THEN 0 ELSE least(volume, cut) END) AS s, sum(CASE WHEN part % 5 = sample THEN least(volume, cut) ELSE 0 END) AS t FROM st, (SELECT DISTINCT part % 5 AS sample FROM st) x GROUP BY sample) SELECT sample, CAST(least(s, t) AS DOUBLE) AS cut FROM p",
+    "g8_margulis": "WITH p AS (SELECT range AS u, range // 30 AS a, range % 30 AS b FROM range(900)), q AS (SELECT u, a AS x, a + b AS y FROM p UNION ALL SELECT u, a, b - a + 30 FROM p UNION ALL SELECT u, a + b, b FROM p UNION ALL SELECT u, a - b + 30, b FROM p UNION ALL SELECT u, a + 1, b FROM p UNION ALL SELECT u, a + 29, b FROM p UNION ALL SELECT u, a, b + 1 FROM p UNION ALL SELECT u, a, b + 29 FROM p), r AS (SELECT u, (x % 30) * 30 + y % 30 AS v FROM q) SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst, CAST(1 AS BIGINT) AS w FROM r WHERE u <> v",
 }

@@ -100,7 +100,7 @@ def dynamic_cut(tree: DataFrame, parts: int) -> tuple[float, list[tuple[int, int
     """Normalised cut of exactly parts parts by a dynamic program, level by level; (inf, []) if there are too few nodes.
 
     A cell has the cost of the parts that are closed and the cut and volume of the one that is still
-    open. Siblings are merged in blocks, so a node with very many children is shared out.
+    open; the cheapest cell a number of cuts stays, so the cut need not be the least. Siblings are merged in blocks, so a node with very many children is shared out.
     """
     top = depth(tree)
     base = tree.select("level", "node", "parent", F.col("weight").cast("double").alias("weight"), F.col("subtree_volume").cast("double").alias("_volume"))

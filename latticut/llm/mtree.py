@@ -25,30 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAGE, FANOUT = 96, 12
+PAGE, FANOUT = 512, 12
 
 
 @dataclass
 class Node:
-    """Children's distances to the centre, in ascending order with the children."""
+    """Children's distances to the centre, in ascending order with the children. The vectors below are first to last."""
 
     centre: np.ndarray
     radius: float
     away: np.ndarray
-    #: rows of the tree's vectors in a leaf
-    rows: np.ndarray | None = None
+    first: int
+    last: int
     children: list["Node"] | None = None
     centres: np.ndarray | None = None
     radii: np.ndarray | None = None
 
 
 class MTree:
+    """Vectors lie in the order of the leaves, so that a page is one slice."""
+
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
         norms = (vectors * vectors).sum(axis=1)
         self.top = int(norms.max(initial=0))
         self.points = np.column_stack([vectors.astype(np.float64), np.sqrt((self.top - norms).astype(np.float64))])
+        self.order: list[np.ndarray] = []
+        self.laid = 0
         self.root = self._build(np.arange(len(vectors)))
+        order = np.concatenate(self.order) if self.order else np.zeros(0, np.int64)
+        self.whole, self.ids = vectors[order], ids[order]
+        self.floats = np.ascontiguousarray(self.points[order, :-1])
+        del self.points, self.order
 
     def _distances(self, rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
         d = self.points[rows] - centre
@@ -58,18 +65,20 @@ class MTree:
         centre = self.points[rows].mean(axis=0) if len(rows) else np.zeros(self.points.shape[1])
         away = self._distances(rows, centre)
         radius = float(away.max(initial=0.0))
+        first = self.laid
         if len(rows) <= PAGE:
             order = np.argsort(away, kind="stable")
-            return Node(centre, radius, away[order], rows=rows[order])
-        if radius < 1e-9:  # copies of one vector: pages in order
-            parts = np.array_split(rows, -(-len(rows) // max(PAGE, len(rows) // FANOUT + 1)))
-        else:
-            parts = self._split(rows, away)
+            self.order.append(rows[order])
+            self.laid += len(rows)
+            return Node(centre, radius, away[order], first, self.laid)
+        parts = self._split(rows, away)
+        if max(len(p) for p in parts) > 0.75 * len(rows):  # copies, or one far vector after another: shells keep the tree low
+            parts = np.array_split(rows[np.argsort(away, kind="stable")], FANOUT)
         children = [self._build(p) for p in parts]
         far = np.array([float(np.sqrt(((c.centre - centre) ** 2).sum())) for c in children])
         order = np.argsort(far, kind="stable")
         children = [children[k] for k in order]
-        return Node(centre, radius, far[order], children=children, centres=np.stack([c.centre for c in children]), radii=np.array([c.radius for c in children]))
+        return Node(centre, radius, far[order], first, self.laid, children, np.stack([c.centre for c in children]), np.array([c.radius for c in children]))
 
     def _split(self, rows: np.ndarray, away: np.ndarray) -> list[np.ndarray]:
         """By the nearest of pivots that lie far from one another."""
@@ -86,8 +95,12 @@ class MTree:
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best, best first."""
-        point = np.append(query.astype(np.float64), 0.0)
-        base = int(query @ query) + self.top
+        floats = query.astype(np.float64)
+        point = np.append(floats, 0.0)
+        length = int(query @ query)
+        base = length + self.top
+        # no sum of products of whole numbers goes beyond half of base: doubles are exact up to 2**53
+        vectors, asked = (self.floats, floats) if base < 1 << 53 else (self.whole, query)
         best: list[tuple[int, int]] = []  # (score, -id), the worst on top
         bound, serial = np.inf, 0
         start = float(np.sqrt(((self.root.centre - point) ** 2).sum()))
@@ -96,22 +109,21 @@ class MTree:
             least, _, distance, node = heapq.heappop(queue)
             if least > bound:
                 break
-            if node.rows is not None:
-                a, b = np.searchsorted(node.away, [distance - bound, distance + bound], side="left") if bound < np.inf else (0, len(node.rows))
-                rows = node.rows[a : b + 1]
-                scores = self.vectors[rows] @ query
-                if len(best) == k:
-                    good = scores >= best[0][0]
-                    rows, scores = rows[good], scores[good]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i == own:
+            if node.children is None:
+                a, b = (int(x) for x in np.searchsorted(node.away, [distance - bound, distance + bound])) if bound < np.inf else (0, len(node.away))
+                a, b = node.first + a, min(node.first + b + 1, node.last)
+                scores = vectors[a:b] @ asked
+                good = np.flatnonzero(scores >= best[0][0]) if len(best) == k else range(len(scores))
+                for j in good:
+                    one = (int(scores[j]), -int(self.ids[a + j]))
+                    if -one[1] == own:
                         continue
                     if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                        heapq.heappush(best, one)
+                    elif one > best[0]:
+                        heapq.heapreplace(best, one)
                 if len(best) == k:
-                    bound = np.sqrt(max(0, base - 2 * best[0][0])) * (1 + 1e-9) + 1e-6
+                    bound = np.sqrt(max(0, base - 2 * best[0][0])) * (1 + 1e-9) + 1e-6 + 1e-9 * float(np.sqrt(base))
                 continue
             live = np.flatnonzero(np.abs(distance - node.away) - node.radii <= bound)
             d = node.centres[live] - point
@@ -131,7 +143,7 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float)
     return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, tree_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, tree_rows: int = 65536, block_rows: int = 2048) -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k best. queries: rows of the same shape."""
     found, asked = integer_vectors(rows, id_col, vector_col, scale), integer_vectors(queries, id_col, vector_col, scale)
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))

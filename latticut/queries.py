@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cuts, traverse, walks
+from .operators import cuts, samples, traverse, walks
 from .plans import hierarchy, tree
 from .sources import graphs
 
@@ -204,7 +204,25 @@ def r13_normalized_cut(spark, d):
     return cuts.part_stats(e, hierarchy.solve(hierarchy.expand(e), 4))
 
 
-QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, c13_decompose, c18_hierarchy, r13_normalized_cut)}
+def _drawn(id_, sample):
+    """Numbers that SQL can draw, too."""
+    return F.pmod(id_ * 7919 + sample * 104729, F.lit(1000003)) * 2147
+
+
+def g1_uniform_samples(spark, d):
+    return samples.uniform_samples(graphs.vertices(_edges(spark, d)), [10, 100, 200], repetitions=2, of=_drawn)
+
+
+def g2_ball(spark, d):
+    e = _edges(spark, d)
+    return samples.ball(e, e.agg(F.min("src").alias("id")), 100, of=_drawn).select("id", F.col("level").cast("long").alias("level"))
+
+
+def g11_margulis_fur(spark, d):
+    return graphs.furred(graphs.margulis(spark, 30), 900)
+
+
+QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, g1_uniform_samples, g2_ball, g11_margulis_fur, c13_decompose, c18_hierarchy, r13_normalized_cut)}
 
 _SWEEP = f"""WITH {_E}, {_A}, {_V}, {_X}, r AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY x, id) AS rank FROM x),
 d AS (SELECT a.src AS id, sum(CASE WHEN y.rank > x.rank THEN w ELSE -w END) AS delta FROM a JOIN r x ON a.src = x.id JOIN r y ON a.dst = y.id WHERE x.comp = y.comp GROUP BY 1),
@@ -243,3 +261,9 @@ ORACLE_SQL = {
     "m1_least_tree_cut": f"WITH {_E}, {_A}, {_V}, {_l(50)}, {_S}, p AS (SELECT sample, sum(CASE WHEN part % 5 = sample THEN 0 ELSE least(volume, cut) END) AS s, sum(CASE WHEN part % 5 = sample THEN least(volume, cut) ELSE 0 END) AS t FROM st, (SELECT DISTINCT part % 5 AS sample FROM st) x GROUP BY sample) SELECT sample, CAST(least(s, t) AS DOUBLE) AS cut FROM p",
     "g8_margulis": "WITH p AS (SELECT range AS u, range // 30 AS a, range % 30 AS b FROM range(900)), q AS (SELECT u, a AS x, a + b AS y FROM p UNION ALL SELECT u, a, b - a + 30 FROM p UNION ALL SELECT u, a + b, b FROM p UNION ALL SELECT u, a - b + 30, b FROM p UNION ALL SELECT u, a + 1, b FROM p UNION ALL SELECT u, a + 29, b FROM p UNION ALL SELECT u, a, b + 1 FROM p UNION ALL SELECT u, a, b + 29 FROM p), r AS (SELECT u, (x % 30) * 30 + y % 30 AS v FROM q) SELECT DISTINCT least(u, v) AS src, greatest(u, v) AS dst, CAST(1 AS BIGINT) AS w FROM r WHERE u <> v",
 }
+_DRAWN = "(id * 7919 + {} * 104729) % 1000003"
+ORACLE_SQL |= {
+    "g1_uniform_samples": f"WITH {_E}, {_A}, {_V}, q AS (SELECT CAST(k + 3 * r AS BIGINT) AS sample, CAST(least(s, (SELECT count(*) FROM v) - s) AS BIGINT) AS size FROM (VALUES (0, 10), (1, 100), (2, 200)) x(k, s), (VALUES (0), (1)) y(r)), o AS (SELECT sample, size, id, row_number() OVER (PARTITION BY sample ORDER BY {_DRAWN.format('sample')}, id) AS n FROM v, q) SELECT sample, size, id FROM o WHERE n <= size",
+    "g2_ball": f"WITH RECURSIVE {_E}, {_A}, r AS (SELECT min(src) AS id, CAST(0 AS BIGINT) AS level FROM e UNION SELECT a.dst, level + 1 FROM r JOIN a ON a.src = r.id WHERE level < 12), m AS (SELECT id, min(level) AS level FROM r GROUP BY id), o AS (SELECT *, row_number() OVER (ORDER BY level, {_DRAWN.format('0')}, id) AS n FROM m) SELECT id, level FROM o WHERE n <= 100",
+    "g11_margulis_fur": ORACLE_SQL["g8_margulis"] + " UNION ALL SELECT range, range + 900, 1 FROM range(900)",
+}

@@ -6,6 +6,8 @@ has both directions. Readers work line by line on executors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,3 +107,46 @@ def margulis(spark: SparkSession, n: int) -> DataFrame:
     moves = ["a, a + b", "a, b - a", "a + b, b", "a - b, b", "a + 1, b", "a - 1, b", "a, b + 1", "a, b - 1"]
     to = F.array(*[F.expr(f"pmod({m.split(', ')[0]}, {n}) * {n} + pmod({m.split(', ')[1]}, {n})") for m in moves])
     return canonical(p.select(F.col("id").alias("u"), F.explode(to).alias("v")))
+
+
+def furred(edges: DataFrame, n: int) -> DataFrame:
+    """The graph on vertices 0 to n - 1, with a pendant n + v for each vertex v."""
+    pendants = edges.sparkSession.range(n).select(F.col("id").alias("src"), (F.col("id") + n).alias("dst"), F.lit(1).cast("long").alias("w"))
+    return edges.unionByName(pendants)
+
+
+def _cycle(spark: SparkSession, n: int, seed: int, block: int = 65536) -> DataFrame:
+    """Edges (u, v) of the cycle through all vertices in the order of their hashes.
+
+    Blocks of the order are made by ranges of the hash, so each is sorted by itself; a block's last vertex leads to the next one's first.
+    """
+    blocks = max(1, n // block)
+    drawn = spark.range(n).select("id", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("b", F.floor((F.col("h") / 2.0**64 + 0.5) * blocks))
+    inner = drawn.select(F.col("id").alias("u"), F.lead("id").over(W.partitionBy("b").orderBy("h", "id")).alias("v")).where("v IS NOT NULL")
+    ends = drawn.groupBy("b").agg(F.min(F.struct("h", "id")).alias("first"), F.max(F.struct("h", "id")).alias("last"))
+    order = W.partitionBy(F.lit(0)).orderBy("b")  # a row a block
+    after = F.coalesce(F.lead("first.id").over(order), F.first("first.id").over(order))
+    return inner.unionByName(ends.select(F.col("last.id").alias("u"), after.alias("v")))
+
+
+def random_regular(spark: SparkSession, n: int, seed: int = 1, tries: int = 1000) -> DataFrame:
+    """floor(floor(ln n) / 2) + 1 random cycles through all n vertices that share no edge."""
+    cycles, found = int(math.log(n)) // 2 + 1, None
+    for k in range(cycles):
+        for attempt in range(tries):
+            one = canonical(_cycle(spark, n, (seed * cycles + k) * tries + attempt))
+            both = one if found is None else found.unionByName(one).distinct()
+            if both.count() == (k + 1) * n:
+                found = both
+                break
+        else:
+            raise ValueError(f"no {cycles} cycles without a common edge found on {n} vertices")
+    return found
+
+
+def random_sparse(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """Each vertex draws ceil(ln n) others, all at once; draws of one pair are one edge."""
+    draws = math.ceil(math.log(n))
+    to = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k")
+    drawn = spark.range(n).select(F.col("id").alias("u"), to).select("u", F.pmod(F.col("u") + 1 + F.pmod(F.xxhash64("u", "k", F.lit(seed)), F.lit(n - 1)), F.lit(n)).alias("v"))
+    return canonical(drawn)

@@ -58,3 +58,17 @@ def test_chain_is_learnt(spark):
     got = {r["doc_id"]: r for r in classify.toxicity_scores(docs, chain, ["poor", "toxic"]).collect()}
     held = [r for r in labels.collect() if r["doc_id"] % 2]
     assert sum((got[r["doc_id"]]["p_toxic"] >= 0.5) == (r["toxic"] == 1) for r in held) >= 0.9 * len(held)
+
+
+def test_tree_of_copies_outliers_and_large_numbers():
+    rng = np.random.default_rng(4)
+    for scale in (1, 1 << 27):
+        copies = np.tile(rng.integers(-3, 4, 4), (1500, 1))
+        far = np.outer(1 << np.arange(20), [1, 0, 0, 0])
+        vectors = np.concatenate([copies, far, rng.integers(-3, 4, (700, 4))]) * scale
+        ids = rng.permutation(len(vectors))
+        tree = mtree.MTree(vectors, ids)
+        for k in (0, 1, 1501, 1519, 1600, 2000):
+            scores = [(-sum(int(a) * int(b) for a, b in zip(vectors[k], v)), int(i)) for v, i in zip(vectors, ids) if i != ids[k]]
+            if all(abs(s) < 1 << 63 for s, _ in scores):
+                assert tree.search(vectors[k], int(ids[k]), 5) == [(-s, i) for s, i in sorted(scores)[:5]]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticut.llm import classify, near_dups, packing, quality_rules, substrings
@@ -20,33 +20,40 @@ from latticut.llm.queries import held_out
 LEAST_QUALITY = 0.7
 
 
+def apart(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that aren't used under names that no operator gives, and the expressions that undo this."""
+    names = [c if c in used else f"_column_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base limits or lies far out of its language and source."""
     verdicts = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, docs["doc_id"] == F.col("_id"), "left_semi").select(*docs.columns)
+    return docs.join(verdicts, docs["doc_id"] == verdicts["_id"], "left_semi").select(*docs.columns)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what scores below LEAST_QUALITY. The model learns from the documents that are still there."""
     model = classify.quality_model(docs, table(spark, sf_dir, "labels"), where=~held_out())
-    text = F.col("text").alias("_whole")
-    scored = classify.quality_scores(docs.select("*", text), model, text_col="_whole", keep=docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    rows, back = apart(docs, ("doc_id", "text"))
+    scored = classify.quality_scores(rows.withColumn("_whole", F.col("text")), model, text_col="_whole", keep=rows.columns)
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*back)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity 0.8."""
     gone = near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes 50-byte strings that an earlier document has; n_chars is that of the text that is left."""
-    found = substrings.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True)
+    rows, back = apart(docs, ("doc_id", "text", "n_chars"))
+    found = substrings.remove_repeats(rows, keep=[c for c in rows.columns if c != "text"], as_text=True)
     changed = found.withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*docs.columns)
+    return changed.select(*back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,3 +158,23 @@ def test_pipeline_stages_keep_columns(spark, frame):
     left = corpus_pipeline.substrings_stage(spark, docs, "")
     assert left.columns == docs.columns and left.count() == 30
     assert hashlib.sha256(left.where("doc_id = 0").first()["text"].encode()).hexdigest()
+
+
+def test_pipeline_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    good = "The river runs past the old mill and the boats lie still until the evening bell rings number {}."
+    rows = [(k, " ".join(good.format(k * 7 + j) for j in range(6)), "en", "s") for k in range(40)]
+    rows += [(100, None, None, None), (101, "", "en", None), (None, good, None, "s"), (102, rows[0][1], "en", "s"), (102, rows[0][1], "en", "s")]
+    names = ["score", "n_removed", "kept", "bin_id", "_id", "_whole"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *names) for r in rows], schema)
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    for n, (d, l) in enumerate(((docs, labels), (docs.limit(0), labels.limit(0)))):
+        l.write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, d, f"{tmp_path}/{n}")
+            assert left.columns == docs.columns
+            assert all([r[c] for c in names] == names for r in left.collect())
+            d = left
+        packed = corpus_pipeline.STAGES[-1][1](spark, d, f"{tmp_path}/{n}")
+        assert packed.count() >= d.count()
+        assert n == 0 or packed.count() == 0

@@ -79,14 +79,25 @@ def f5_boundary(spark, d):
 
 
 def t1_components(spark, d):
+    """Of the pairs that occur twice or more, as SQL can follow no more; t1_components_whole has all."""
     return traverse.components(_edges(spark, d, 2))
 
 
 def t1_components_in_parts(spark, d):
+    """Of the pairs that occur twice or more; t1_components_in_parts_whole has all."""
     e = _edges(spark, d, 2)
     return traverse.components(e, _labels(e, 5))
 
 
+def t1_components_whole(spark, d):
+    return traverse.components(_edges(spark, d))
+
+
+def t1_components_in_parts_whole(spark, d):
+    e = _edges(spark, d)
+    return traverse.components(e, _labels(e, 5))
+
+
 def t4_bfs_levels(spark, d):
     e = _edges(spark, d)
     return traverse.bfs_levels(e, e.agg(F.min("src").alias("id"))).select("id", F.col("level").cast("long").alias("level"))
@@ -191,16 +202,16 @@ def g8_margulis(spark, d):
 
 
 def c13_decompose(spark, d):
-    return hierarchy.decompose(_edges(spark, d, 2), 0.1)
+    return hierarchy.decompose(_edges(spark, d), 0.1)
 
 
 def c18_hierarchy(spark, d):
-    return hierarchy.hierarchy(_edges(spark, d, 2))
+    return hierarchy.hierarchy(_edges(spark, d))
 
 
 def r13_normalized_cut(spark, d):
     """The whole way: hierarchy, greedy cut of its tree into four, refined level by level, scored on the input."""
-    e = _edges(spark, d, 2)
+    e = _edges(spark, d)
     return cuts.part_stats(e, hierarchy.solve(hierarchy.expand(e), 4))
 
 
@@ -222,7 +233,7 @@ def g11_margulis_fur(spark, d):
     return graphs.furred(graphs.margulis(spark, 30), 900)
 
 
-QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, g1_uniform_samples, g2_ball, g11_margulis_fur, c13_decompose, c18_hierarchy, r13_normalized_cut)}
+QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t1_components_whole, t1_components_in_parts_whole, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, g1_uniform_samples, g2_ball, g11_margulis_fur, c13_decompose, c18_hierarchy, r13_normalized_cut)}
 
 _SWEEP = f"""WITH {_E}, {_A}, {_V}, {_X}, r AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY x, id) AS rank FROM x),
 d AS (SELECT a.src AS id, sum(CASE WHEN y.rank > x.rank THEN w ELSE -w END) AS delta FROM a JOIN r x ON a.src = x.id JOIN r y ON a.dst = y.id WHERE x.comp = y.comp GROUP BY 1),

@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences, which are normalised and looked up among known licence sentences. The
-identifiers found in a document, in order, are matched against ordered rules: a rule names a licence
-and the identifiers that must follow one another. Only sentences that are known are ever shuffled.
+Texts are normalised and known licence sentences looked up in them, also where these are wrapped
+over lines, in comments, or have ; or : inside. The identifiers found in a document, in order, are
+matched against ordered rules: a rule names a licence and the identifiers that must follow one
+another. Nothing is shuffled.
 
 One output row an input row. Null and empty texts have no licences; other columns are left out.
 """
@@ -70,13 +71,31 @@ RULES = (
     ("CC-BY-SA-4.0", ("ccbysa4-license",)),
     ("LicenseRef-all-rights-reserved", ("all-rights",)),
 )
-#: A sentence ends at a line's end, or at . ! ? ; : before white space.
+#: A piece ends at a line's end, or at . ! ? ; : before white space. A known sentence may span pieces: see marked().
 SENTENCE_END = "(?<=[.!?;:])\\s+|\\n+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order: lower case, each run of anything but letters and digits one space."""
-    return F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " ")))
+def marked(text: Column) -> Column:
+    """Normalised words with a space between them, a line feed where a sentence may end and a form feed where it does.
+
+    Sentences end at . ! ? before white space and at blank lines; they may end at a line's end, at ; and :
+    before white space and after a list's marker. Comment prefixes go. Each text begins and ends with a mark.
+    """
+    out = F.lower(F.translate(text, "\f\r", "  "))
+    out = F.regexp_replace(out, "(?m)^[ \\t]*(?:dnl|@?rem)[ \\t]", " ")
+    out = F.regexp_replace(out, "(?m)^([^\\p{L}\\p{N}\\n]*[0-9a-z]{1,3}\\))\\s", "$1\n")
+    out = F.regexp_replace(out, "(?<=[.!?])\\s+|\\n[ \\t]*\\n", "\f")
+    out = F.regexp_replace(out, "(?<=[;:])\\s+", "\n")
+    out = F.regexp_replace(F.concat(F.lit("\f"), out, F.lit("\f")), "[^\\p{L}\\p{N}\\n\\f]+", " ")
+    out = F.regexp_replace(out, "[ \\n]*\\f[ \\n\\f]*", "\f")
+    return F.regexp_replace(out, " ?\\n[ \\n]*", "\n")
+
+
+def known_sentences(text: Column, known: dict[str, str]) -> Column:
+    """The known sentences in order, longest first where two begin at one place, whatever lines they are wrapped over."""
+    words = [r"[ \n]".join(map(re.escape, s.split(" "))) for s in sorted(known.values(), key=len, reverse=True)]
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[\n\f])(?:{'|'.join(words)})(?=[\n\f])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
 
 
 def match_rules(identifiers: Column, rules: tuple = RULES) -> Column:
@@ -91,19 +110,15 @@ def match_rules(identifiers: Column, rules: tuple = RULES) -> Column:
 
 
 def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """doc id, sentence_ids (known sentences in order), licenses (sorted, each once), n_sentences of each row.
+    """doc id, sentence_ids (known sentences in order), licenses (sorted, each once), n_sentences (pieces by SENTENCE_END) of each row.
 
     The known sentences are a constant of this module, a few kB, and so are looked up without a shuffle.
     """
     by_text = {s: k for k, s in known.items()}
-    size = {len(s) for s in by_text}
     lookup = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    of_length = sorted(size)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_column(docs, text_col).alias("_text"))
-    # only sentences whose length is some known one's are looked up
-    some = F.filter(sentences(F.col("_text")), lambda s: F.length(s).isin(of_length))
     counted = F.size(F.filter(F.split("_text", SENTENCE_END), lambda s: F.trim(s) != "")).cast("long")
-    rows = rows.select(id_col, counted.alias("n_sentences"), F.filter(F.transform(some, lambda s: F.element_at(lookup, s)), lambda x: x.isNotNull()).alias("sentence_ids"))
+    rows = rows.select(id_col, counted.alias("n_sentences"), F.transform(known_sentences(F.col("_text"), known), lambda s: F.element_at(lookup, s)).alias("sentence_ids"))
     none = F.array().cast("array<string>")
     licenses = F.when(F.size("sentence_ids") > 0, match_rules(F.col("sentence_ids"), rules)).otherwise(none)
     return rows.select(id_col, "n_sentences", "sentence_ids", licenses.alias("licenses"))

@@ -3,7 +3,8 @@
 Each document gets base statistics; documents that fail the base limits go. The others' statistics
 are transformed and, per language and source, a minimum-covariance-determinant estimate of centre
 and scatter is found: from a start at medians and absolute deviations, concentration steps refit
-mean and covariance to the share of rows nearest by Mahalanobis distance. A document beyond the
+mean and covariance to the share of rows nearest by Mahalanobis distance until the determinant falls
+no more. A document beyond the
 cutoff is rejected. Distances of a group's rows are counted in bins to find the nearest share, so a
 hot group shuffles only counts; every row counts in every step.
 
@@ -97,7 +98,7 @@ def _precision(model: DataFrame, kept: list[str], floor: tuple[float, ...]) -> D
     minor = lambda i, j: _determinant([[c[a][b] for b in range(p) if b != j] for a in range(p) if a != i])
     cells = ", ".join(f"{'-+'[(i + j) % 2 == 0]} {minor(i, j)}" for i in range(p) for j in range(i, p))
     found = model.select(*kept, F.expr(f"array({cells})").alias("_cofactors"), F.expr(_determinant(c)).alias("_det"))
-    return found.select(*kept, F.transform("_cofactors", lambda x: x / F.col("_det")).alias("_m"))
+    return found.select(*kept, "_det", F.transform("_cofactors", lambda x: x / F.col("_det")).alias("_m"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -119,11 +120,12 @@ def _with(rows: DataFrame, model: DataFrame, groups: list[str]) -> DataFrame:
     return rows.join(right, on, "left").drop(*[f"_g_{g}" for g in groups])
 
 
-def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, steps: int = 3, cutoff: float = 60.0, min_group: int = 50, floor: tuple[float, ...] = (0.05, 0.08, 0.08, 0.08), bins: float = 32.0) -> DataFrame:
+def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, tolerance: float = 0.001, cutoff: float = 18.47, min_group: int = 50, floor: tuple[float, ...] = (0.02, 0.04, 0.04, 0.04), bins: float = 32.0) -> DataFrame:
     """The rows with d2, and kept: passed the base limits and not beyond the cutoff of its group's robust estimate.
 
-    share: of a group's rows that the estimate is fitted to; steps: concentration steps; cutoff: largest
-    squared distance that is kept; floor: least standard deviation of each statistic, so that a statistic
+    share: of a group's rows that the estimate is fitted to; tolerance: concentration steps go on while a
+    group's determinant falls by more than this share; cutoff: largest squared distance that is kept, the
+    0.999 quantile of chi-square with as many degrees as there are statistics; floor: least standard deviation of each statistic, so that a statistic
     that hardly varies rejects nobody; bins: bins per unit of log(1 + squared distance).
     """
     groups = list(groups)
@@ -136,15 +138,19 @@ def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), sha
     # a normal cloud's inner share has a smaller spread than the whole: the covariance is scaled back
     scale = _consistency(share, len(FEATURES))
     parts = [f"mean_{i}" for i in range(len(FEATURES))]
-    for _ in range(steps):
-        model = written(_precision(model, [*groups, *parts], floor), "mcd-model")
-        found = _distance(_with(fit, model, groups)).withColumn("_bin", F.floor(F.log1p("_d2") * bins).cast("long"))
+    best = written(_precision(model, [*groups, "_n", *parts], floor).withColumn("_det", F.lit(math.inf)).withColumn("_fell", F.lit(True)), "mcd-model")
+    while not best.where("_fell").isEmpty():
+        found = _distance(_with(fit, best.drop("_n", "_det", "_fell"), groups)).withColumn("_bin", F.floor(F.log1p("_d2") * bins).cast("long"))
         counts = found.groupBy(*groups, "_bin").agg(F.count("*").alias("_c"))
         order = W.partitionBy(*groups).orderBy("_bin")
         limit = counts.withColumn("_sum", F.sum("_c").over(order)).withColumn("_all", F.sum("_c").over(W.partitionBy(*groups))).where(F.col("_sum") >= F.ceil(F.col("_all") * share)).groupBy(*groups).agg(F.min("_bin").alias("_limit"), F.first("_all").alias("_n"))
         inner = _with(found.drop(*parts, "_m"), limit, groups).where(F.col("_bin") <= F.col("_limit"))
-        model = _with(_moments(inner, groups, scale), limit.select(*groups, "_n"), groups)
-    judged = _distance(_with(rows, written(_precision(model, [*groups, "_n", *parts], floor), "mcd-model"), groups))
+        model = _precision(_with(_moments(inner, groups, scale), limit.select(*groups, "_n"), groups), [*groups, *parts], floor)
+        # a group whose determinant doesn't fall any more keeps the estimate that it has, so this ends
+        both = _with(best, model.select(*groups, *[F.col(c).alias(f"_new{c}") for c in (*parts, "_m", "_det")]), groups)
+        fell = F.col("_new_det") < F.col("_det") * (1 - tolerance)
+        best = written(both.select(*groups, "_n", *[F.when(fell, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in (*parts, "_m", "_det")], F.coalesce(fell, F.lit(False)).alias("_fell")), "mcd-model")
+    judged = _distance(_with(rows, best.drop("_det", "_fell"), groups))
     fine = F.coalesce(F.col("_n"), F.lit(0)) < min_group
     kept = ~F.col("base_failed") & (fine | F.coalesce(F.col("_d2") <= cutoff, F.lit(True)))
     return judged.select(*stats.columns, F.col("_d2").alias("d2"), kept.alias("kept"))

@@ -9,7 +9,8 @@ cutoff is rejected. Distances of a group's rows are counted in bins to find the
 hot group shuffles only counts; every row counts in every step.
 
 Null texts have no words and fail the base limits. A null language or source is a group of its own.
-Groups of fewer than min_group rows keep all that pass the base limits.
+Rows of groups with fewer than min_group rows that pass the base limits are judged by the estimate of
+all rows of their language, and where these are too few, too, by that of the whole table.
 """
 
 from __future__ import annotations
@@ -126,11 +127,20 @@ def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), sha
     share: of a group's rows that the estimate is fitted to; tolerance: concentration steps go on while a
     group's determinant falls by more than this share; cutoff: largest squared distance that is kept, the
     0.999 quantile of chi-square with as many degrees as there are statistics; floor: least standard deviation of each statistic, so that a statistic
-    that hardly varies rejects nobody; bins: bins per unit of log(1 + squared distance).
+    that hardly varies rejects nobody; min_group: least rows of a group with an estimate of its own; bins: bins per unit of log(1 + squared distance).
     """
-    groups = list(groups)
+    by, groups = list(groups), ["_level", *(f"_by_{g}" for g in groups)]
     rows = stats.select("*", *_features())
     fit = rows.where(~F.col("base_failed"))
+    sizes = fit.groupBy(*by).agg(F.count("*").alias("_size"))
+    # level k leaves out the last k of the columns; a group's rows are judged at its first level with enough rows
+    counts = [F.sum("_size").over(W.partitionBy(*by[: len(by) - k])) for k in range(len(by) + 1)]
+    level = F.coalesce(*[F.when(n >= min_group, F.lit(k)) for k, n in enumerate(counts)], F.lit(len(by)))
+    chosen = written(sizes.select(*by, level.alias("_level")), "mcd-levels")
+    used = sorted(r["_level"] for r in chosen.select("_level").distinct().collect())
+    masked = [F.when(F.col("_level") <= len(by) - 1 - i, F.col(g)).alias(f"_by_{g}") for i, g in enumerate(by)]
+    levels = F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")
+    fit = fit.withColumn("_level", F.explode(levels)).select("_level", *masked, *FEATURES)
     centre = fit.groupBy(*groups).agg(F.count("*").alias("_n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mean_{i}") for i, f in enumerate(FEATURES)])
     near = _with(fit, centre, groups)
     spread = near.groupBy(*groups).agg(F.first("_n").alias("_n"), *[F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(len(FEATURES))], *[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"mean_{i}")), 0.5, 1000)).alias(f"_s_{i}") for i, f in enumerate(FEATURES)])
@@ -150,9 +160,9 @@ def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), sha
         both = _with(best, model.select(*groups, *[F.col(c).alias(f"_new{c}") for c in (*parts, "_m", "_det")]), groups)
         fell = F.col("_new_det") < F.col("_det") * (1 - tolerance)
         best = written(both.select(*groups, "_n", *[F.when(fell, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in (*parts, "_m", "_det")], F.coalesce(fell, F.lit(False)).alias("_fell")), "mcd-model")
-    judged = _distance(_with(rows, best.drop("_det", "_fell"), groups))
-    fine = F.coalesce(F.col("_n"), F.lit(0)) < min_group
-    kept = ~F.col("base_failed") & (fine | F.coalesce(F.col("_d2") <= cutoff, F.lit(True)))
+    models = _with(chosen.select(*by, "_level", *masked), best.drop("_n", "_det", "_fell"), groups).drop(*groups)
+    judged = _distance(_with(rows, models, by))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(True))
     return judged.select(*stats.columns, F.col("_d2").alias("d2"), kept.alias("kept"))
 
 

@@ -20,3 +20,10 @@ def test_each_statistic_rejects_just_beyond_the_cutoff(spark):
     beyond = [(5500, 0, 0, 0), (5000, 31, 0, 0), (5000, 0, 31, 0), (5000, 0, 0, 31)]
     got = verdicts(spark, [("en", "s", *r) for r in [PLAIN] * 100 + inside + beyond])
     assert got == [True] * 104 + [False] * 4
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    odd = (5000, 300, 0, 0)
+    rows = [("en", "large", *PLAIN)] * 100 + [("en", "small", *PLAIN)] * 9 + [("de", None, *PLAIN)] * 4 + [(None, "x", *PLAIN)]
+    got = verdicts(spark, [*rows, ("en", "small", *odd), ("de", None, *odd), (None, "y", *odd)])
+    assert got == [True] * len(rows) + [False] * 3

@@ -28,8 +28,11 @@ def apart(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Colum
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base limits or lies far out of its language and source."""
-    verdicts = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, docs["doc_id"] == verdicts["_id"], "left_semi").select(*docs.columns)
+    rows, back = apart(docs, ("lang", "source"))
+    names = dict(zip(docs.columns, rows.columns, strict=True))
+    keep = tuple(c for c in rows.columns if c not in ("lang", "source"))
+    rows = rows.withColumns({c: F.col(names[c]) for c in ("doc_id", "text")})
+    return quality_rules.judge(rows, keep=keep).where("kept").select(*back)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,7 +180,7 @@ def _consistency(share: float, p: int) -> float:
     return share / below(low, p + 2)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), **options) -> DataFrame:
-    """Statistics and verdict of every row."""
-    stats = written(statistics(docs, id_col, text_col, keep=groups), "quality-stats")
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Statistics and verdict of every row, and its columns in keep."""
+    stats = written(statistics(docs, id_col, text_col, keep=(*groups, *keep)), "quality-stats")
     return outliers(stats, groups, **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -26,28 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches hold at most so many rows, so that a batch of long texts still fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Arrow batches hold at most so many rows and bytes (or one row), so that a batch of long texts fits a worker.
+
+    Plans read this when they run, so it stays set; settings that are lower already stay as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def _deleted_at_end(spark: SparkSession, path: str) -> None:
+    """Hadoop deletes the path when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can reach: spark.checkpoint.dir, or a new local one where that is unset."""
+    """Folder that all executors can reach: spark.checkpoint.dir; in local mode, where that is unset, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='latticut-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+        _deleted_at_end(spark, found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
+        _deleted_at_end(spark, spark.sparkContext.getCheckpointDir())
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, from a table written to the shared folder: lineage ends there."""
+    """The rows of df, from a table written to the shared folder: lineage ends there. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _deleted_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

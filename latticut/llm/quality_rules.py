@@ -1,16 +1,23 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
-Each document gets base statistics; documents that fail the base limits go. The others' statistics
-are transformed and, per language and source, a minimum-covariance-determinant estimate of centre
-and scatter is found: from a start at medians and absolute deviations, concentration steps refit
-mean and covariance to the share of rows nearest by Mahalanobis distance until the determinant falls
-no more. A document beyond the
-cutoff is rejected. Distances of a group's rows are counted in bins to find the nearest share, so a
-hot group shuffles only counts; every row counts in every step.
-
-Null texts have no words and fail the base limits. A null language or source is a group of its own.
-Rows of groups with fewer than min_group rows that pass the base limits are judged by the estimate of
-all rows of their language, and where these are too few, too, by that of the whole table.
+Each document gets base statistics; documents that fail the base limits go. The others' statistics are
+transformed, and per language and source a minimum-covariance-determinant estimate of centre and scatter
+is found: from three starts (medians and absolute deviations; these with correlations of squashed values;
+plain mean and covariance), concentration steps refit mean and covariance to the share of rows nearest by
+Mahalanobis distance until the determinant falls no more; the start with the least determinant counts. The
+squares of floors are added to the variances throughout, so that statistics that hardly vary reject nobody.
+A document beyond a quantile of chi-square is rejected.
+
+Estimates are fitted to counts of rows in the cells of a fine grid over the statistics, made once. So a
+concentration step costs what the cells cost, not the rows, and a hot group shuffles only counts; every row
+counts in every step. Verdicts use each row's own values.
+
+Null and empty texts have no words and fail the base limits, whatever their other columns hold. A null
+language or source is a group of its own. Rows of groups with fewer than min_group rows that pass the base
+limits are judged by the estimate of all rows of their language, and where these are too few, too, by that of
+the whole table. Repeated rows and ids are judged row by row, each counts; an empty table gives an empty
+result. Very long texts are read whole. Columns of docs that have the names of results are left out, unless
+they are renamed before.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from .base import text_column, written
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Words that are added to each document before rates are taken, and their length.
+PRIOR, USUAL = 20, 5
 FEATURES = ("f_word_chars", "f_symbols", "f_dup_lines", "f_repeats")
 
 
@@ -78,10 +87,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _features() -> list[Column]:
-    """Rates on scales where ordinary documents spread evenly; the constants keep zero counts finite."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """Statistics on scales where ordinary documents spread evenly. PRIOR words of usual length without faults are added to each document, as rates of short ones vary more."""
+    n = F.col("n_words").cast("double") + PRIOR
     rate = lambda c: F.sqrt(F.col(c) / n)
-    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias(FEATURES[0]), rate("n_symbols").alias(FEATURES[1]), rate("n_dup_lines").alias(FEATURES[2]), rate("n_repeat_words").alias(FEATURES[3])]
+    return [F.log((F.col("word_chars") + PRIOR * USUAL) / n).alias(FEATURES[0]), rate("n_symbols").alias(FEATURES[1]), rate("n_dup_lines").alias(FEATURES[2]), rate("n_repeat_words").alias(FEATURES[3])]
 
 
 def _determinant(cells: list[list[str]]) -> str:
@@ -110,29 +119,88 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_d2", F.expr(f"greatest({' + '.join(terms)}, 0D)"))
 
 
-def _moments(rows: DataFrame, groups: list[str], scale: float) -> DataFrame:
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    return rows.groupBy(*groups).agg(*[F.avg(f).alias(f"mean_{i}") for i, f in enumerate(FEATURES)], *[(F.coalesce(F.covar_pop(FEATURES[i], FEATURES[j]), F.lit(0.0)) * scale).alias(f"cov_{i}_{j}") for i, j in pairs])
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
-def _with(rows: DataFrame, model: DataFrame, groups: list[str]) -> DataFrame:
-    right = model.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *[c for c in model.columns if c not in groups])
-    on = [rows[g].eqNullSafe(right[f"_g_{g}"]) for g in groups]
-    return rows.join(right, on, "left").drop(*[f"_g_{g}" for g in groups])
+def _moments(rows: DataFrame, groups: list[str], scale: float, values: tuple[str, ...] = FEATURES, weight: str = "_w") -> DataFrame:
+    """Weighted means and covariances, the latter times scale."""
+    total = F.sum(weight)
+    mean = {i: F.sum(F.col(weight) * F.col(v)) / total for i, v in enumerate(values)}
+    cells = [((F.sum(F.col(weight) * F.col(values[i]) * F.col(values[j])) / total - mean[i] * mean[j]) * scale).alias(f"cov_{i}_{j}") for i, j in _pairs()]
+    return rows.groupBy(*groups).agg(total.alias("_n"), *[m.alias(f"mean_{i}") for i, m in mean.items()], *cells)
 
 
-def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, tolerance: float = 0.001, cutoff: float = 18.47, min_group: int = 50, floor: tuple[float, ...] = (0.02, 0.04, 0.04, 0.04), bins: float = 32.0) -> DataFrame:
+def _with(rows: DataFrame, model: DataFrame, groups: list[str], how: str = "left") -> DataFrame:
+    right = model.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *[c for c in model.columns if c not in groups])
+    on = [rows[g].eqNullSafe(right[f"_g_{g}"]) for g in groups]
+    return rows.join(right, on, how).drop(*[f"_g_{g}" for g in groups])
+
+
+def _cells(fit: DataFrame, by: list[str], floor: tuple[float, ...], grid: int) -> DataFrame:
+    """Rows counted by group and cell of a grid; a cell is grid times finer than a floor. _w: rows inside."""
+    at = [F.round(F.col(f) / (floor[i] / grid)).cast("long").alias(f"_c{i}") for i, f in enumerate(FEATURES)]
+    return fit.select(*by, *at).groupBy(*by, *[f"_c{i}" for i in range(len(FEATURES))]).agg(F.count("*").alias("_w"))
+
+
+def _starts(cells: DataFrame, groups: list[str], floor: tuple[float, ...], grid: int) -> DataFrame:
+    """Three estimates of each group: _start, mean_i, cov_i_j and _n."""
+    p = range(len(FEATURES))
+    keep, parts = [*groups, "_n"], [f"mean_{i}" for i in p]
+    middle = cells.groupBy(*groups).agg(F.sum("_w").alias("_n"), *[(F.percentile(f"_c{i}", F.lit(0.5), F.col("_w")) * (floor[i] / grid)).alias(f"mean_{i}") for i in p])
+    near = _with(cells, middle, groups)
+    away = [F.percentile(F.abs(F.col(f) - F.col(f"mean_{i}")), F.lit(0.5), F.col("_w")) for i, f in enumerate(FEATURES)]
+    spread = near.groupBy(*keep, *parts).agg(*[F.greatest(1.4826 * a, F.lit(floor[i])).alias(f"_s{i}") for i, a in enumerate(away)])
+    plain = spread.select(*keep, *parts, *[(F.col(f"_s{i}") * F.col(f"_s{i}") if i == j else F.lit(0.0)).alias(f"cov_{i}_{j}") for i, j in _pairs()], F.lit(0).alias("_start"))
+    squashed = _with(cells, spread, groups).select(*groups, "_w", *[F.tanh((F.col(f) - F.col(f"mean_{i}")) / F.col(f"_s{i}")).alias(f"_y{i}") for i, f in enumerate(FEATURES)])
+    of = _moments(squashed, groups, 1.0, tuple(f"_y{i}" for i in p)).select(*groups, *[f"cov_{i}_{j}" for i, j in _pairs()])
+    both = _with(spread, of, groups)
+    # no value varies in place of a correlation: 0
+    ties = lambda i, j: F.coalesce(F.col(f"cov_{i}_{j}") / F.nullif(F.sqrt(F.col(f"cov_{i}_{i}") * F.col(f"cov_{j}_{j}")), F.lit(0.0)), F.lit(0.0))
+    tied = both.select(*keep, *parts, *[(F.col(f"_s{i}") * F.col(f"_s{j}") * (F.lit(1.0) if i == j else ties(i, j))).alias(f"cov_{i}_{j}") for i, j in _pairs()], F.lit(1).alias("_start"))
+    return plain.unionByName(tied).unionByName(_moments(cells, groups, 1.0).withColumn("_start", F.lit(2)))
+
+
+def estimates(cells: DataFrame, groups: list[str], share: float, tolerance: float, floor: tuple[float, ...], bins: float, grid: int) -> DataFrame:
+    """Each group's centre (mean_i), inverse scatter (_m, upper triangle) and determinant (_det), from cells with weights _w."""
+    p = len(FEATURES)
+    parts, by = [f"mean_{i}" for i in range(p)], [*groups, "_start"]
+    # a normal cloud's inner share has a smaller spread than the whole: the covariance is scaled back
+    scale = share / _chi2(_chi2_quantile(share, p), p + 2)
+    cells = cells.select(*groups, "_w", *[f"_c{i}" for i in range(p)], *[(F.col(f"_c{i}") * (floor[i] / grid)).alias(f) for i, f in enumerate(FEATURES)])
+    first = _precision(_starts(cells, groups, floor, grid), [*by, "_n", *parts], floor)
+    best = written(first.withColumn("_det", F.lit(math.inf)).withColumn("_fell", F.lit(True)), "mcd-model")
+    while not best.where("_fell").isEmpty():
+        found = _distance(_with(cells, best.where("_fell").drop("_det", "_fell"), groups, "inner")).withColumn("_bin", F.floor(F.log1p("_d2") * bins).cast("long"))
+        counts = found.groupBy(*by, "_n", "_bin").agg(F.sum("_w").alias("_c"))
+        upto = counts.withColumn("_sum", F.sum("_c").over(W.partitionBy(*by).orderBy("_bin")))
+        enough = F.ceil(F.col("_n") * share)
+        # of the last bin's rows just so many count that the share is met
+        limit = upto.where((F.col("_sum") >= enough) & (F.col("_sum") - F.col("_c") < enough)).select(*by, F.col("_bin").alias("_limit"), ((enough - F.col("_sum") + F.col("_c")) / F.col("_c")).alias("_part"))
+        inner = _with(found.drop("_n", "_m", *parts), limit, by).where(F.col("_bin") <= F.col("_limit"))
+        inner = inner.withColumn("_w", F.when(F.col("_bin") == F.col("_limit"), F.col("_w") * F.col("_part")).otherwise(F.col("_w").cast("double")))
+        model = _precision(_moments(inner, by, scale), [*by, *parts], floor)
+        # a start whose determinant doesn't fall any more keeps the estimate that it has, so this ends
+        both = _with(best, model.select(*by, *[F.col(c).alias(f"_new{c}") for c in (*parts, "_m", "_det")]), by)
+        fell = F.coalesce(F.col("_new_det") < F.col("_det") * (1 - tolerance), F.lit(False))
+        best = written(both.select(*by, "_n", *[F.when(fell, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in (*parts, "_m", "_det")], fell.alias("_fell")), "mcd-model")
+    least = best.groupBy(*groups).agg(F.min(F.struct("_det", "_start", *parts, "_m")).alias("b"))
+    return least.select(*groups, *[F.col(f"b.{c}").alias(c) for c in (*parts, "_m", "_det")])
+
+
+def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, tolerance: float = 0.001, quantile: float = 0.999, min_group: int = 50, floor: tuple[float, ...] = (0.03, 0.04, 0.06, 0.08), bins: float = 32.0, grid: int = 8) -> DataFrame:
     """The rows with d2, and kept: passed the base limits and not beyond the cutoff of its group's robust estimate.
 
     share: of a group's rows that the estimate is fitted to; tolerance: concentration steps go on while a
-    group's determinant falls by more than this share; cutoff: largest squared distance that is kept, the
-    0.999 quantile of chi-square with as many degrees as there are statistics; floor: least standard deviation of each statistic, so that a statistic
-    that hardly varies rejects nobody; min_group: least rows of a group with an estimate of its own; bins: bins per unit of log(1 + squared distance).
+    group's determinant falls by more than this share; quantile: of chi-square with as many degrees as there are
+    statistics, the largest squared distance that is kept; floor: least standard deviation of each statistic;
+    min_group: least rows of a group with an estimate of its own; bins: bins per unit of log(1 + squared distance),
+    by which the nearest share is found; grid: cells of the grid per floor.
     """
     by, groups = list(groups), ["_level", *(f"_by_{g}" for g in groups)]
     rows = stats.select("*", *_features())
-    fit = rows.where(~F.col("base_failed"))
-    sizes = fit.groupBy(*by).agg(F.count("*").alias("_size"))
+    cells = written(_cells(rows.where(~F.col("base_failed")), by, floor, grid), "mcd-cells")
+    sizes = cells.groupBy(*by).agg(F.sum("_w").alias("_size"))
     # level k leaves out the last k of the columns; a group's rows are judged at its first level with enough rows
     counts = [F.sum("_size").over(W.partitionBy(*by[: len(by) - k])) for k in range(len(by) + 1)]
     level = F.coalesce(*[F.when(n >= min_group, F.lit(k)) for k, n in enumerate(counts)], F.lit(len(by)))
@@ -140,44 +208,27 @@ def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), sha
     used = sorted(r["_level"] for r in chosen.select("_level").distinct().collect())
     masked = [F.when(F.col("_level") <= len(by) - 1 - i, F.col(g)).alias(f"_by_{g}") for i, g in enumerate(by)]
     levels = F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")
-    fit = fit.withColumn("_level", F.explode(levels)).select("_level", *masked, *FEATURES)
-    centre = fit.groupBy(*groups).agg(F.count("*").alias("_n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mean_{i}") for i, f in enumerate(FEATURES)])
-    near = _with(fit, centre, groups)
-    spread = near.groupBy(*groups).agg(F.first("_n").alias("_n"), *[F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(len(FEATURES))], *[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"mean_{i}")), 0.5, 1000)).alias(f"_s_{i}") for i, f in enumerate(FEATURES)])
-    model = spread.select(*groups, "_n", *[f"mean_{i}" for i in range(len(FEATURES))], *[(F.col(f"_s_{i}") * F.col(f"_s_{i}") if i == j else F.lit(0.0)).alias(f"cov_{i}_{j}") for i in range(len(FEATURES)) for j in range(i, len(FEATURES))])
-    # a normal cloud's inner share has a smaller spread than the whole: the covariance is scaled back
-    scale = _consistency(share, len(FEATURES))
-    parts = [f"mean_{i}" for i in range(len(FEATURES))]
-    best = written(_precision(model, [*groups, "_n", *parts], floor).withColumn("_det", F.lit(math.inf)).withColumn("_fell", F.lit(True)), "mcd-model")
-    while not best.where("_fell").isEmpty():
-        found = _distance(_with(fit, best.drop("_n", "_det", "_fell"), groups)).withColumn("_bin", F.floor(F.log1p("_d2") * bins).cast("long"))
-        counts = found.groupBy(*groups, "_bin").agg(F.count("*").alias("_c"))
-        order = W.partitionBy(*groups).orderBy("_bin")
-        limit = counts.withColumn("_sum", F.sum("_c").over(order)).withColumn("_all", F.sum("_c").over(W.partitionBy(*groups))).where(F.col("_sum") >= F.ceil(F.col("_all") * share)).groupBy(*groups).agg(F.min("_bin").alias("_limit"), F.first("_all").alias("_n"))
-        inner = _with(found.drop(*parts, "_m"), limit, groups).where(F.col("_bin") <= F.col("_limit"))
-        model = _precision(_with(_moments(inner, groups, scale), limit.select(*groups, "_n"), groups), [*groups, *parts], floor)
-        # a group whose determinant doesn't fall any more keeps the estimate that it has, so this ends
-        both = _with(best, model.select(*groups, *[F.col(c).alias(f"_new{c}") for c in (*parts, "_m", "_det")]), groups)
-        fell = F.col("_new_det") < F.col("_det") * (1 - tolerance)
-        best = written(both.select(*groups, "_n", *[F.when(fell, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in (*parts, "_m", "_det")], F.coalesce(fell, F.lit(False)).alias("_fell")), "mcd-model")
-    models = _with(chosen.select(*by, "_level", *masked), best.drop("_n", "_det", "_fell"), groups).drop(*groups)
-    judged = _distance(_with(rows, models, by))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(True))
+    at = [f"_c{i}" for i in range(len(FEATURES))]
+    pooled = cells.withColumn("_level", F.explode(levels)).select("_level", *masked, *at, "_w").groupBy(*groups, *at).agg(F.sum("_w").alias("_w"))
+    found = estimates(written(pooled, "mcd-pooled"), groups, share, tolerance, floor, bins, grid)
+    models = _with(chosen.select(*by, "_level", *masked), found.drop("_det"), groups).drop(*groups)
+    judged = _distance(_with(rows, written(models, "mcd-models"), by))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= _chi2_quantile(quantile, len(FEATURES)), F.lit(True))
     return judged.select(*stats.columns, F.col("_d2").alias("d2"), kept.alias("kept"))
 
 
-def _consistency(share: float, p: int) -> float:
-    """share / P(chi2 with p + 2 degrees <= q), q the share's quantile of chi2 with p degrees; p is even."""
+def _chi2(x: float, k: int) -> float:
+    """P(chi-square with k degrees <= x), k even."""
+    h = x / 2
+    return 1 - math.exp(-h) * sum(h**i / math.factorial(i) for i in range(k // 2))
 
-    def below(x: float, k: int) -> float:
-        h = x / 2
-        return 1 - math.exp(-h) * sum(h**i / math.factorial(i) for i in range(k // 2))
 
+def _chi2_quantile(share: float, k: int) -> float:
     low, high = 0.0, 1000.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if below(mid, p) < share else (low, mid)
-    return share / below(low, p + 2)
+        low, high = (mid, high) if _chi2(mid, k) < share else (low, mid)
+    return low
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), **options) -> DataFrame:

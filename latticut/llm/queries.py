@@ -26,16 +26,11 @@ def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
-#: Categories of the chain, in order: whether the labels call a text poor, then whether they call it toxic.
-CATEGORIES = ["poor", "toxic"]
-
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the same rows as op5, so that the others tell how well it does."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
-    chain = classify.toxicity_chain(docs, labels, CATEGORIES)
-    scored = classify.toxicity_scores(docs, chain, CATEGORIES)
-    return scored.select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+    scored = classify.toxicity_scores(docs, classify.toxicity_chain(docs, table(spark, sf_dir, "labels"), where=~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), *[f"p_{c}" for c in classify.CATEGORIES], *[(F.col(f"p_{c}") >= 0.5).cast("int").alias(c) for c in classify.CATEGORIES])
 
 
 def held_out():
@@ -64,7 +59,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, inter=85, union=100)
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=3, inter=85).drop("first")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,16 @@ are not all connected then are compared further: pairs of other components that
 rarest shingles, without which no two sets can be so similar, are verified too. So no link is lost
 because a bucket is large, and large groups don't make all pairs. Components are the connected classes.
 
-Null and empty texts, and texts without words, have an empty set and are linked with nothing, nor
-with each other. A text of fewer words than a shingle has one shingle, the whole sequence. Rows that
-repeat a doc_id stay rows of their own; a null doc_id is no class's least and stands alone.
+Before full sets are fetched, pairs go that can't be linked: those whose sizes differ too much, and those whose
+parity sketches (a bit for each of 1024 hash values, turned by each item) differ in more bits than linked sets have
+different items. Both tests are exact. What may be missed is a pair that no band brings together; rows a band are
+chosen so that this has a probability below MISSED for a pair at the threshold, and less above.
+
+Null and empty texts, and texts without words, have an empty set and are linked with nothing, nor with each other. A
+text of fewer words than a shingle has one shingle, the whole sequence. Texts of any length are read whole. Rows that
+repeat a doc_id stay rows of their own, each with the component of its text; a null doc_id is no component's
+smallest, unless there is no other. Columns besides the id and the text are left out, unless named in keep, so
+names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,17 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import BASE, Rolling, byte_view, checkpointed, lowered, mixed, ragged, small_batches, text_column, words_of, written
+from .skew import attached, salted
 
-BINS, BANDS = 120, 24
-#: Of 120 one-bit sketch positions, a pair at similarity 0.85 differs in 9 on average, with a standard
-#: deviation of 2.9; pairs that differ in more than this (5.9 deviations) aren't verified.
-MOST_BITS = 26
-#: Items that more sets have among their rarest are compared in blocks of BLOCK sets, and no pairs are made.
-FEW, BLOCK = 24, 256
+BINS = 120
+#: Highest probability that a pair at the threshold shares no band.
+MISSED = 1e-6
+#: Bits of a parity sketch, in words of 64.
+PARITY = 16
+#: Pairs are made of sets that share an item which FEW of them have at most. Sets with a more frequent item
+#: are compared in blocks of BLOCK sets, and no pairs but links are made; both ways find the same links.
+FEW, BLOCK = 24, 1024
+
+
+def band_rows(inter: int, union: int) -> int:
+    """Bins a band: as many as miss a pair at the threshold with a probability of MISSED at most."""
+    s = inter / union
+    return next((r for r in (6, 5, 4, 3, 2) if (1 - s**r) ** (BINS // r) <= MISSED), 1)
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,107 +110,136 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc id, n_shingles, f1 and f2 (the set's 128-bit sum), b1 and b2 (a bit of each bin) and bands of each row."""
+def _sums(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent sums of each row's items, which tell sets apart."""
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    out = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat ^ np.uint64(seed)), dtype=np.uint64)])
+        out.append(sums[edges[1:]] - sums[edges[:-1]])
+    return out[0], out[1]
+
+
+def parities(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """rows x PARITY: bit j is whether an odd number of the row's items fall on j."""
+    bits = PARITY * 64
+    at = np.repeat(np.arange(len(counts)), counts) * bits + (mixed(flat) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(counts) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8").astype(np.uint64).reshape(len(counts), PARITY)
+
+
+def signatures(docs: DataFrame, width: int, a_band: int, id_col: str, text_col: str, keep: tuple[str, ...], row_col: str | None) -> DataFrame:
+    """doc_id, row (a number of its own) and key (by which its text is found again) of each row; n_shingles, f1 and f2 (the set's 128-bit sum), parity and bands."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
+    text, doc = text_column(docs, text_col), F.col(id_col).cast("long")
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], doc.alias("doc_id"), row.alias("row"), _key(doc, text, row_col).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.field("element", pa.int64()))
         for batch in batches:
-            flat, counts = shingle_sets(batch.column(1), width)
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            values = sketches(flat, counts)
-            bits = values & np.uint64(1)
-            half = BINS // 2
-            weights = np.uint64(1) << np.arange(half, dtype=np.uint64)
-            b = [(bits[:, k * half : (k + 1) * half] * weights).sum(axis=1, dtype=np.uint64) for k in (0, 1)]
-            bands = np.zeros((len(counts), BANDS), np.uint64)
-            each = BINS // BANDS
-            for k in range(BANDS):
+            flat, counts = shingle_sets(batch.column(batch.num_columns - 1), width)
+            values, n = sketches(flat, counts), BINS // a_band
+            bands = np.zeros((len(counts), n), np.uint64)
+            for k in range(n):
                 h = np.full(len(counts), np.uint64(k + 1))
-                for j in range(each):
-                    h = mixed(h * np.uint64(BASE) + values[:, k * each + j])
+                for j in range(a_band):
+                    h = mixed(h * np.uint64(BASE) + values[:, k * a_band + j])
                 bands[:, k] = h
-            some = np.where(counts > 0, BANDS, 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), *[pa.array(_signed(s[edges[1:]] - s[edges[:-1]])) for s in (one, two)], *[pa.array(_signed(x)) for x in b], ragged(_signed(bands[counts > 0].ravel()), some, pa.int64())],
-                names=["doc_id", "n_shingles", "f1", "f2", "b1", "b2", "bands"],
-            )
+            full = counts > 0
+            columns = [pa.array(counts), *[pa.array(_signed(x)) for x in _sums(flat, counts)], ragged(_signed(parities(flat, counts)[full].ravel()), np.where(full, PARITY, 0), pa.int64()), ragged(_signed(bands[full].ravel()), np.where(full, n, 0), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[c.cast(longs) if pa.types.is_list(c.type) else c for c in columns]], names=[f.name for f in schema.fields])
+
+    lists = T.ArrayType(T.LongType())
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f1", "f2")], T.StructField("parity", lists), T.StructField("bands", lists)])
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, b1 long, b2 long, bands array<long>")
 
+def _key(doc: Column, text: Column, row_col: str | None) -> Column:
+    """By which a row's text is found: its number if it has one, else its id, or a hash of the text where that is null."""
+    return F.coalesce(doc, F.xxhash64(text)) if row_col is None else F.col(row_col).cast("long")
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """rep and its full set of hashes, for the wanted reps only."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    ids = wanted.select(F.col("rep").alias("doc_id"), "n", "f1", "f2")
-    rows = rows.join(ids, "doc_id")
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """node and its full set of hashes, for the wanted nodes (node, key, f1, f2) only."""
+    text = text_column(docs, text_col)
+    rows = docs.select(_key(F.col(id_col).cast("long"), text, row_col).alias("key"), text.alias("text")).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, counts = shingle_sets(batch.column(1), width)
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
             same = np.ones(len(counts), bool)
-            for s, column in ((one, 3), (two, 4)):
-                same &= _signed(s[edges[1:]] - s[edges[:-1]]) == batch.column(column).to_numpy()
-            keep = pa.array(same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(_signed(flat), counts, pa.int64())], names=["rep", "items"]).filter(keep)
+            for s, column in zip(_sums(flat, counts), (2, 3), strict=True):
+                same &= _signed(s) == batch.column(column).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(_signed(flat), counts, pa.int64())], names=["node", "items"]).filter(pa.array(same))
+
+    # rows that repeat a key have their own texts, or the same one again
+    return rows.select("node", "text", "f1", "f2").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+
+
+def _likely(n: str, m: str, p: str, q: str, inter: int, union: int) -> Column:
+    """Whether sets of n and m items with parities p and q can be linked."""
+    unlike = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    # linked sets have no more items that are in one of them only than this
+    return (F.least(n, m) * union >= F.greatest(n, m) * inter) & (unlike * (union + inter) <= (F.col(n) + F.col(m)) * (union - inter))
 
-    # of rows that repeat a doc_id, only the one whose set is the class's
-    return rows.select("doc_id", "text", "n", "f1", "f2").mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
+
+def _counted(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the number of those of their key, _m; and the keys with it."""
+    counts = written(pairs.groupBy(key).agg(F.count("*").alias("_m")), "counts")
+    return attached(pairs, counts, [key], "_m", pairs.count(), "inner"), counts
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """The pairs (a, b) with union * |A and B| >= inter * |A or B| on their full sets."""
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    counted = both.select("a", "b", (F.size("items_a") + F.size("items_b")).alias("total"), shared.alias("shared"))
-    return counted.where(union * F.col("shared") >= inter * (F.col("total") - F.col("shared"))).select("a", "b")
+    """The pairs (a, b) with union * |A and B| >= inter * |A or B| on their full sets. An a may have any number of pairs."""
+    counted, counts = _counted(pairs, "a")
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).join(counts, "a")
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
+    both = salted(counted.select("a", "b", "_m").join(right, "b"), left, "a", "_m")
+    sized = both.select("a", "b", (F.size("items_a") + F.size("items_b")).alias("total"), F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
+    return sized.where(union * F.col("shared") >= inter * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
 def _rarest(sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """For each set its rarest items, so many that two sets which are linked have one of them in common; a row an item.
+    """For each set (node, n, component, items) its rarest items, so many that two sets which are linked have one of them in common; a row an item.
 
     Of a linked pair, each set shares at least inter / union of its items with the other, so among the
     first of all items in any order that is the same for all sets, one more than may be missing, there
     is a common one. In the order from rare to frequent, the items that all of a large group have come last.
     """
-    items = sets.select("rep", F.explode("items").alias("item"))
+    items = written(sets.select("node", F.explode("items").alias("item")), "items")
     frequent = items.groupBy("item").agg(F.count("*").alias("count")).where("count > 1")
-    counted = items.join(frequent, "item", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "item"))).alias("ordered"))
-    rows = counted.join(sets.drop("items"), "rep")
+    counted = attached(items, frequent, ["item"], "count", items.count())
+    rows = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "item"))).alias("ordered"))
+    rows = rows.join(sets.select("node", "n", "component"), "node")
     # the least overlap is ceil(n * inter / union)
     length = F.col("n") - F.ceil(F.col("n") * inter / union).cast("long") + 1
     first = F.filter(F.slice("ordered", 1, F.least(F.col("n"), length + 1).cast("int")), lambda s: s["count"] > 1)
-    return rows.select(*[c for c in sets.columns if c != "items"], F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
+    return rows.select("node", "component", F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
 
 
-def _linked_in_blocks(rows: DataFrame, inter: int, union: int) -> DataFrame:
-    """Links (a, b) between sets of one item and different components, from rows of item, count, rep, component, items.
+def _linked_in_blocks(rows: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
+    """Links (a, b) between sets of one item and different components, from rows of item, count, node, component.
 
     An item's sets are dealt to blocks, and each two blocks meet in one group, which compares all of
     their pairs and returns only links that connect what is not connected yet.
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = dealt.select("item", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "items")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = dealt.select("item", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component").join(sets.select("node", "items"), "node")
 
     def run(group: pa.Table) -> pa.Table:
-        rep, own, component = (group.column(c).to_numpy() for c in ("rep", "own", "component"))
+        node, own, component = (group.column(c).to_numpy() for c in ("node", "own", "component"))
         items = group.column("items").combine_chunks()
         counts = np.diff(items.offsets.to_numpy())
         _, number = np.unique(items.flatten().to_numpy(), return_inverse=True)
-        owner = np.repeat(np.arange(len(rep)), counts)
-        shared = np.zeros((len(rep), len(rep)), np.float32)
+        owner = np.repeat(np.arange(len(node)), counts)
+        shared = np.zeros((len(node), len(node)), np.float32)
         order = np.argsort(number, kind="stable")
         number, owner = number[order], owner[order]
         for start in range(0, int(number[-1]) + 1, 4096):
             a, b = np.searchsorted(number, [start, start + 4096])
-            part = np.zeros((len(rep), 4096), np.float32)
+            part = np.zeros((len(node), 4096), np.float32)
             part[owner[a:b], number[a:b] - start] = 1
             shared += part @ part.T
         linked = union * shared >= inter * (counts[:, None] + counts[None, :] - shared)
@@ -212,69 +258,92 @@ def _linked_in_blocks(rows: DataFrame, inter: int, union: int) -> DataFrame:
             x, y = root(int(component[i])), root(int(component[j]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
         table = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(table[:, 0]), "b": pa.array(table[:, 1])})
 
-    return keyed.groupBy("item", "lo", "hi").applyInArrow(run, "a long, b long")
+    return keyed.select("item", "lo", "hi", "own", "node", "component", "items").groupBy("item", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node and component, its least reachable node, of every node of an edge (a, b); by label propagation with pointer jumping."""
+    """node and component, its least reachable node, of every node of an edge (a, b); by label propagation with pointer jumping.
+
+    Neither a node with many edges nor a component with many nodes is one task's: see skew.attached.
+    """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    total = both.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count("*").alias("degree"))
     for _ in range(rounds):
         labels = checkpointed(labels)
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), "component")
-        jump = stepped.select(F.col("node").alias("next"), F.least("next", "component").alias("far"))
-        new = stepped.join(jump, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("next"), "component")
+        given = labels.select(F.col("node").alias("b"), F.col("component").alias("near"), "degree")
+        near = attached(both, given, ["b"], "degree", total, "inner").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        stepped = checkpointed(labels.join(near, "node").select("node", F.least("component", "near").alias("next"), "component", "degree"))
+        pointing = stepped.groupBy("next").agg(F.count("*").alias("_m"))
+        jump = pointing.join(stepped.select(F.col("node").alias("next"), F.col("next").alias("far")), "next")
+        new = attached(stepped, jump, ["next"], "_m", total).select("node", F.coalesce(F.least("next", "far"), "next").alias("next"), "component", "degree")
         new = checkpointed(new)
         changed = new.where(F.col("next") < F.col("component")).limit(1).count()
-        labels = new.select("node", F.col("next").alias("component"))
+        labels = new.select("node", F.col("next").alias("component"), "degree")
         if not changed:
-            return labels
+            return labels.select("node", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, inter: int = 80, union: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, inter: int = 80, union: int = 100, keep: tuple[str, ...] = (), row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and first of every row, and its columns in keep.
 
     Rows are linked when union * |intersection| >= inter * |union of sets|; inter / union of 0.8 and more.
+    component_id: the smallest id of the component; kept: this is the row's id. first: true for one row of each
+    component, of the smallest id, and for every row with an empty set. row_col: a column of numbers that no two rows share, by which their texts
+    are found again, if there is one.
     """
-    signed = written(signatures(docs, width, id_col, text_col), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("bands").alias("bands"))
-    reps = written(reps, "classes")
-    banded = reps.select("rep", "n", "b1", "b2", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    members = written(banded.join(buckets.select("band", "least"), "band"), "buckets")
-    small = lambda x, y: F.bit_count(F.col(f"{x}b1").bitwiseXOR(F.col(f"{y}b1"))) + F.bit_count(F.col(f"{x}b2").bitwiseXOR(F.col(f"{y}b2"))) <= MOST_BITS
-    sized = lambda x, y: (F.least(x, y) * union >= F.greatest(x, y) * inter)
-    star = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"), "n", "b1", "b2").dropDuplicates(["a", "b"])
-    centre = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("b1").alias("ab1"), F.col("b2").alias("ab2"))
-    star = star.join(centre, "a").where(small("a", "") & sized(F.col("na"), F.col("n"))).select("a", "b")
-    star = written(star, "star")
-    wanted = members.select("rep").distinct().join(reps.select("rep", "n", "f1", "f2"), "rep")
-    sets = written(_sets(docs, wanted, width, id_col, text_col), "sets")
-    edges = written(_verified(star, sets, inter, union), "links")
+    signed = written(signatures(docs, width, band_rows(inter, union), id_col, text_col, keep, row_col), "signatures")
+    full = signed.where("n_shingles > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "key")).alias("least")
+    classes = full.groupBy("f1", "f2").agg(least, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("bands").alias("bands"))
+    # a class is told by 128 bits, its node in the graph of links by 64 of them
+    reps = written(classes.withColumn("node", F.col("f1")), "classes")
+    banded = written(reps.select("node", F.explode("bands").alias("band")), "bands")
+    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("_m")).where("least < most").drop("most")
+    members = written(attached(banded, buckets, ["band"], "_m", banded.count(), "inner"), "buckets")
+    star = written(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    light = reps.select("node", "n", "parity")
+    counted, _ = _counted(star, "a")
+    ends = counted.join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+    centres = counted.groupBy("a").agg(F.first("_m").alias("_m")).join(light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
+    likely = salted(ends, centres, "a", "_m").where(_likely("na", "nb", "pa", "pb", inter, union))
+    tried = written(likely.select("a", "b"), "tried")
+    wanted = members.select("node").distinct().join(reps.select("node", F.col("least.key").alias("key"), "f1", "f2"), "node")
+    sets = written(_sets(docs, wanted, width, id_col, text_col, row_col), "sets")
+    edges = written(_verified(tried, sets, inter, union), "links")
     labels = components(edges)
 
     # what buckets hold beyond one component is searched for links across components
-    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", "b1", "b2", F.coalesce("component", "rep").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = written(named.join(split, "band").select("rep", "n", "b1", "b2", "component").dropDuplicates(["rep"]), "open")
-    prefixes = written(_rarest(sets.join(open_, "rep"), inter, union), "prefixes")
-    frequent = prefixes.groupBy("item").agg(F.count("*").alias("count"))
-    few = prefixes.join(frequent.where(F.col("count") <= FEW).select("item"), "item")
-    x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("rep", "n", "b1", "b2", "component")]) for s in ("x", "y"))
-    across = x.join(y, (x["item"] == y["item"]) & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & small("x", "y") & sized(F.col("xn"), F.col("yn")))
-    rest = across.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    within = _linked_in_blocks(prefixes.select("item", "rep", "component").join(frequent.where(F.col("count") > FEW), "item").join(sets, "rep"), inter, union)
-    more = written(_verified(written(rest, "across"), sets, inter, union).union(within), "links")
-    if more.limit(1).count():
+    named = written(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
+    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_m")).where("lo < hi")
+    open_ = attached(named, split, ["band"], "_m", named.count(), "inner").select("node", "component").distinct()
+    open_ = written(open_.join(light, "node"), "open")
+    prefixes = written(_rarest(open_.select("node", "n", "component").join(sets, "node"), inter, union), "prefixes")
+    by_item = prefixes.groupBy("item").agg(F.count("*").alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    shared = written(attached(prefixes, by_item, ["item"], "count", prefixes.count(), "inner"), "shared")
+    few = shared.where(F.col("count") <= FEW)
+    x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("node", "component")]) for s in ("x", "y"))
+    across = x.join(y, (x["item"] == y["item"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")))
+    across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        across = across.join(light.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+    rest = written(across.where(_likely("na", "nb", "pa", "pb", inter, union)).select("a", "b"), "across")
+    within = _linked_in_blocks(shared.where(F.col("count") > FEW), sets, inter, union)
+    more = written(_verified(rest, sets, inter, union).union(within), "links")
+    if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    classes = reps.select("f1", "f2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    found = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+
+    found = written(reps.select("f1", "f2", "node", "least", "copies").join(labels, "node", "left").select("f1", "f2", "least", "copies", F.coalesce("component", "node").alias("component")), "found")
+    smallest = found.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("_m"))
+    ids = attached(found.select("f1", "f2", "copies", "component"), smallest, ["component"], "_m", found.count(), "inner")
+    ids = written(ids.select("f1", "f2", "copies", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "ids")
+    rows = signed.drop("parity", "bands", "key")
+    out = attached(rows.where("n_shingles > 0"), ids, ["f1", "f2"], "copies", rows.count(), "inner")
+    none = rows.where("n_shingles = 0").withColumns({"copies": F.lit(1).cast("long"), "component_id": F.col("doc_id"), "first_row": F.col("row")})
+    both = out.select(*none.columns).unionByName(none)
+    return both.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("first_row")).alias("first"), *[F.col(f"k_{c}").alias(c) for c in keep])

@@ -1,21 +1,25 @@
 """Removal of byte strings that an earlier document has, found by suffix arrays.
 
-Texts are dealt to blocks by a hash of their id. Anchors are positions whose k-byte slice has the
-least hash of some window of min_bytes bytes, so equal windows have equal anchors at the same place.
-
-1. Each block sends each anchor hash once; those that two documents have come back to the blocks.
-2. Each block sends, once for each distinct context of a shared anchor (all bytes of windows that
-   can hold it), the context with the smallest and largest document id that has it there.
-3. A task has all contexts of its anchors. Contexts that differ are laid end to end as a text of
-   16-byte symbols whose suffix array, by linear grouping, brings equal beginnings together; for
-   each offset of a window, contexts that agree over the whole window get the smallest id of them.
-4. Blocks get back the offsets of each context that a smaller id has and cover their bytes.
-
-What is sent for an anchor grows with blocks and distinct contexts, not with copies, so a passage
-that a third of all documents have costs each block one row.
-
-Null and empty texts have no bytes. Matches never cross documents, so texts shorter than min_bytes
-lose nothing, nor do rows with a null id; rows that repeat an id aren't earlier than one another.
+Texts are dealt to blocks by a hash of their id. Of the K-byte slices of each window of min_bytes bytes the one with
+the least hash is the window's core, so equal windows have equal cores at the same place. Windows in a row that have
+the same core make a context: the bytes from the first one's start to the last one's end.
+
+1. Each block sends each core's hash once; those that two documents have come back to the blocks.
+2. Each block sends, once for each distinct context of a shared core, its bytes with the smallest and largest
+   document id that has it there.
+3. A task has all contexts of its cores. Where a core has several contexts, their bytes are laid end to end and a
+   suffix array is built by linear grouping; windows that agree are neighbours in it, and of each run of neighbours
+   with min_bytes bytes in common every window gets the smallest id.
+4. Blocks get back which windows of each context a smaller id has, and cover their bytes.
+
+Without the first two steps, the suffix arrays would be over all texts; they leave out only windows that no other
+document can have. What is sent for a core grows with blocks and distinct contexts, not with copies, so a passage that a
+third of all documents have costs each block one row. Suffix arrays are of whole cores up to about BATCH symbols.
+
+Null and empty texts have no bytes. Matches never cross documents, so texts shorter than min_bytes lose nothing, nor
+do rows with a null id; rows that repeat an id aren't earlier than one another. Each row gives one row. A text of any
+length is read in parts of PART bytes. Columns besides the id and the text are left out unless named in keep, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,130 +36,157 @@ from pyspark.sql import types as T
 from .base import BASE, Rolling, byte_view, mixed, shuffle_parts, text_column
 from .suffixes import suffix_array
 
-#: Bytes of an anchor's slice.
-K = 16
+#: Bytes of a core.
+K = 32
 #: Texts are hashed in parts of about so many bytes, to bound a worker's memory.
 PART = 1 << 20
+#: Symbols of a suffix array, if no core has more.
+BATCH = 1 << 19
 #: Bits of a hash that are sent besides its bucket. Buckets hold a bounded number of hashes, so two
 #: hashes seldom look alike; if they do, they make a candidate more, which the contexts then tell apart.
 SENT = np.uint64(39)
 NEVER = np.iinfo(np.int64).max
-_WEIGHTS = mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+#: Low bits of a window's least key, for the place.
+_PLACE = np.uint64((1 << 24) - 1)
 
 
-def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
-    """of (np.minimum or np.maximum) over each run of width values."""
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values."""
     done = 1
     while done * 2 <= width:
-        x = of(x[:-done], x[done:])
+        x = np.minimum(x[:-done], x[done:])
         done *= 2
-    return of(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of all anchors of texts laid end to end."""
-    w = length - K + 1
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = Rolling(data).windows(K)
-    least = _sliding(h, w, np.minimum)
-    # windows that cross texts don't count
-    valid = np.ones(len(least), bool)
-    for end in offsets[1:-1]:
-        valid[max(0, end - length + 1) : end] = False
-    for start, end in zip(offsets[:-1], offsets[1:], strict=True):
-        if end - start < length:
-            valid[start:end] = False
-    least[~valid] = 0
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    at = np.flatnonzero((_sliding(padded, w, np.maximum) == h) & (h > 0))
-    return at, h[at]
-
-
-def parts_of(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about PART bytes."""
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
+
+
+class Cores:
+    """Of a part of a block's texts: each core's place, its first and last window's start, its hash and its context's key."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
+        w = length - K + 1
+        self.length, none = length, np.zeros(0, np.int64)
+        self.at, self.first, self.last, self.hash, self.key = none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        if len(data) < length:
+            return
+        rolling = Rolling(data)
+        h = rolling.windows(K)
+        # ties go to the place furthest right
+        place = _PLACE - np.arange(len(h), dtype=np.uint64)
+        least = _sliding_least((h & ~_PLACE) | place, w)
+        at = (_PLACE - (least & _PLACE)).astype(np.int64)
+        row = np.searchsorted(offsets, np.arange(len(at)), side="right") - 1
+        starts = np.flatnonzero(np.arange(len(at)) + length <= offsets[row + 1])  # windows that cross texts don't count
+        if not len(starts):
+            return
+        at, row = at[starts], row[starts]
+        fresh = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
+        self.at, self.first = at[fresh], starts[fresh]
+        self.last = starts[np.concatenate([fresh[1:], [len(at)]]) - 1]
+        self.hash = h[self.at]
+        self.key = context_keys(rolling.slices(self.first, self.last + length), self.at - self.first, self.last - self.first)
+
+    def contexts(self, data: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """A row each of which: the context's bytes, zeros behind them, then the core's place and the number of windows."""
+        wide = 2 * self.length - K
+        out = np.zeros((len(which), -(-(wide + 2) // 8) * 8), np.uint8)
+        step = np.arange(wide)
+        for a in range(0, len(which), 1 << 14):
+            part = which[a : a + (1 << 14)]
+            index = self.first[part][:, None] + step
+            inside = step < (self.last - self.first)[part][:, None] + self.length
+            out[a : a + len(part), :wide] = np.where(inside, data[np.minimum(index, len(data) - 1)], 0)
+            out[a : a + len(part), wide] = self.at[part] - self.first[part]
+            out[a : a + len(part), wide + 1] = self.last[part] - self.first[part] + 1
+        return out
+
+
+def context_keys(of_bytes: np.ndarray, place: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Keys of contexts, from hashes of their bytes, their cores' places and how many windows follow the first."""
+    return mixed(of_bytes * np.uint64(BASE) + (place * 256 + more).astype(np.uint64))
+
+
+def parts_of(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Byte ranges of about PART bytes, and where texts begin and end inside. A longer text is cut; its parts overlap so that each window is in one."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """For each anchor the bytes of all windows that can hold it, zero outside its text, then how many there are to its left and right."""
-    left = length - K
-    width = -(-(left + length + 2) // 8) * 8
-    before, after = np.minimum(left, at - offsets[rows]), np.minimum(length, offsets[rows + 1] - at)
-    step = np.arange(-left, length)
-    index = at[:, None] + step
-    inside = (step >= -before[:, None]) & (step < after[:, None])
-    out = np.zeros((len(at), width), np.uint8)
-    np.clip(index, 0, max(len(data) - 1, 0), out=index)
-    out[:, : left + length] = np.where(inside, data[index], 0)
-    out[:, left + length] = before
-    out[:, left + length + 1] = after
-    return out
+        b = min(n, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
+        if b > a:
+            yield int(offsets[a]), int(offsets[b]), offsets[a : b + 1] - offsets[a]
+            a = b
+            continue
+        lo, end = int(offsets[a]), int(offsets[a + 1])
+        while lo + length <= end:
+            hi = min(end, lo + PART + length - 1)
+            yield lo, hi, np.array([0, hi - lo])
+            lo += PART
+        a += 1
+
+
+def _split(matrix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, cores' places and numbers of windows of contexts."""
+    wide = 2 * length - K
+    return matrix[:, :wide], matrix[:, wide].astype(np.int64), matrix[:, wide + 1].astype(np.int64)
 
 
-def context_hash(matrix: np.ndarray) -> np.ndarray:
-    words = matrix.view(np.uint64)
-    total = np.zeros(len(matrix), np.uint64)
-    for k in range(words.shape[1]):
-        total += mixed(words[:, k] + _WEIGHTS[k]) * _WEIGHTS[k]
-    return mixed(total)
+def _hashes(matrix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each context's core, and its key."""
+    cores, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for a in range(0, len(matrix), 1 << 13):
+        text, place, windows = _split(matrix[a : a + (1 << 13)], length)
+        rolling, start = Rolling(np.ascontiguousarray(text).ravel()), np.arange(len(text)) * text.shape[1]
+        cores.append(rolling.slices(start + place, start + place + K))
+        keys.append(context_keys(rolling.slices(start, start + windows + length - 1), place, windows - 1))
+    return np.concatenate(cores), np.concatenate(keys)
 
 
-def shared_windows(matrix: np.ndarray, smallest: np.ndarray, length: int) -> np.ndarray:
-    """contexts x offsets: the smallest id of all contexts that agree on the window that begins offset bytes before the anchor; NEVER where there is no window.
+def shared_windows(matrix: np.ndarray, cores: np.ndarray, smallest: np.ndarray, length: int) -> np.ndarray:
+    """contexts x windows: the smallest id of all contexts that have the window; NEVER where there is no window.
 
-    matrix: distinct contexts, of any anchors; smallest: the smallest id that has each.
+    matrix: distinct contexts, of any cores; smallest: the smallest id that has each.
     """
-    left = length - K
-    before, after = matrix[:, left + length].astype(np.int64), matrix[:, left + length + 1].astype(np.int64)
-    offs = np.arange(left + 1)
-    valid = (offs <= before[:, None]) & (length - offs <= after[:, None])
-    out = np.where(valid, smallest[:, None], NEVER)
-    _, group, counts = np.unique(_anchor_hashes(matrix, left), return_inverse=True, return_counts=True)
-    several = np.flatnonzero(counts[group] > 1)
-    if not len(several):
-        return out
-    matrix, smallest, valid = matrix[several], smallest[several], valid[several]
-    right = np.zeros((len(several), -(-length // 16) * 16), np.uint8)
-    right[:, :length] = matrix[:, left : left + length]
-    order = _order_by_suffix_array(right)
-    right, matrix, smallest, valid = right[order], matrix[order], smallest[order], valid[order]
-    same = right[1:, :length] == right[:-1, :length]
-    common = np.where(same.all(axis=1), length, same.argmin(axis=1))
-    found = np.full(valid.shape, NEVER)
-    lefts = np.zeros(len(order), np.uint64)
-    for o in offs:
-        if o:
-            lefts = mixed(lefts * np.uint64(BASE) + matrix[:, left - o] + np.uint64(1))
-        rows = np.flatnonzero(valid[:, o])
-        if not len(rows):
-            continue
-        interval = np.concatenate([[0], np.cumsum(common < length - o)]).astype(np.uint64)
-        _, key = np.unique(mixed(interval * np.uint64(BASE) + lefts)[rows], return_inverse=True)
-        low = np.full(key.max() + 1, NEVER)
-        np.minimum.at(low, key, smallest[rows])
-        found[rows, o] = low[key]
-    out[several[order]] = found
+    _, place, windows = _split(matrix, length)
+    out = np.where(np.arange(length - K + 1) < windows[:, None], smallest[:, None], NEVER)
+    order = np.argsort(cores, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], cores[order][1:] != cores[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(order)))
+    several = order[np.repeat(sizes > 1, sizes)]
+    group = np.repeat(np.cumsum(sizes > 1), sizes)[np.repeat(sizes > 1, sizes)]
+    symbols = np.cumsum(windows[several] + length)
+    a = 0
+    while a < len(several):
+        # whole cores
+        b = max(int(np.searchsorted(symbols, (symbols[a - 1] if a else 0) + BATCH, side="right")), a + 1)
+        b = int(np.searchsorted(group, group[b - 1], side="right" if b == len(several) or group[b - 1] == group[a] else "left")) if b < len(several) and group[b] == group[b - 1] else b
+        rows = several[a:b]
+        out[rows] = _by_suffixes(matrix[rows], smallest[rows], length)
+        a = b
     return out
 
 
-def _order_by_suffix_array(rows: np.ndarray) -> np.ndarray:
-    """Row numbers in the order of their bytes: by the suffix array of all rows as symbols of 16 bytes, each row ended by a 0."""
-    halves = rows.view(">u8").astype(np.uint64).reshape(len(rows), -1, 2)
-    high, low = halves[:, :, 0].ravel(), halves[:, :, 1].ravel()
-    by = np.lexsort((low, high))
-    fresh = np.concatenate([[True], (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(fresh)
-    per = halves.shape[1]
-    text = np.zeros((len(rows), per + 1), np.int64)
-    text[:, :per] = rank.reshape(-1, per)
-    suffixes = np.array(suffix_array(text.ravel().tolist()))
-    return suffixes[suffixes % (per + 1) == 0] // (per + 1)
+def _by_suffixes(matrix: np.ndarray, smallest: np.ndarray, length: int) -> np.ndarray:
+    """shared_windows of some contexts, by the suffix array of their bytes."""
+    text, _, windows = _split(matrix, length)
+    ends = windows + length - 1
+    step = np.arange(text.shape[1] + 1)
+    laid = np.zeros((len(text), text.shape[1] + 1), np.uint16)
+    laid[:, :-1] = text.astype(np.uint16) + 1
+    laid[step == ends[:, None]] = 0  # the end of a context is below all bytes
+    symbols = laid[step <= ends[:, None]]
+    starts = np.concatenate([[0], np.cumsum(ends + 1)[:-1]])
+    row = np.repeat(np.arange(len(text)), ends + 1)
+    offset = np.arange(len(symbols)) - starts[row]
+    order = np.array(suffix_array(symbols), np.int64)
+    order = order[offset[order] < windows[row[order]]]
+    # neighbours with length symbols in common
+    agree = np.zeros(len(order), bool)
+    for a in range(1, len(order), 1 << 14):
+        part = symbols[order[a - 1 : a + (1 << 14)][:, None] + np.arange(length)]
+        agree[a : a + len(part) - 1] = (part[1:] == part[:-1]).all(axis=1)
+    runs = np.flatnonzero(~agree)
+    low = np.minimum.reduceat(smallest[row[order]], runs)
+    out = np.full((len(text), length - K + 1), NEVER)
+    out[row[order], offset[order]] = np.repeat(low, np.diff(np.append(runs, len(order))))
+    return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -184,12 +215,6 @@ def _unpacked(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(zstandard.decompress(x), kind) for x in column.to_pylist()]
 
 
-def _anchor_hashes(matrix: np.ndarray, left: int) -> np.ndarray:
-    """The hash of each context's anchor."""
-    n = len(matrix)
-    return Rolling(matrix[:, left : left + K].ravel()).slices(np.arange(n) * K, np.arange(1, n + 1) * K)
-
-
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     b = _bucket(h, buckets)
     order = np.argsort(b, kind="stable")
@@ -206,35 +231,38 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, block_bytes: int = 6 << 20, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """The columns keep (the id, unless given) of every row, and kept (binary; as_text: a string, without characters that were cut), n_bytes, n_removed, n_spans, and the removed spans' starts and ends."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, block_bytes: int = 6 << 20, bucket_bytes: int = 12 << 20, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """The columns keep (the id, unless given) of every row, and kept (binary; as_text: a string, without characters that were cut), n_bytes, n_removed, n_spans, and the removed spans' starts and ends.
+
+    block_bytes, bucket_bytes: texts a block, and texts whose cores a task compares.
+    """
     spark = docs.sparkSession
-    length, left = min_bytes, min_bytes - K
-    if not K < length <= 200:
-        raise ValueError("min_bytes is from 17 to 200")
+    length = min_bytes
+    if not K < length <= 128:
+        raise ValueError(f"min_bytes is from {K + 1} to 128")
     total = docs.select(F.sum(F.octet_length(text_column(docs, text_col)))).first()[0] or 0
     n_blocks = max(shuffle_parts(spark), int(total // block_bytes) + 1)
+    n_buckets = max(shuffle_parts(spark), int(total // bucket_bytes) + 1)
     keep = keep or [id_col]
     rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(id_col).cast("long").alias("_id"), text_column(docs, text_col).alias("_text"))
     # rows without an id are dealt by their text
     blocks = rows.withColumn("block", F.pmod(F.coalesce(F.xxhash64("_id"), F.xxhash64("_text")), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
 
-    def texts(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each part: data, offsets, rows' ids, anchors' positions, rows and hashes; rows without an id left out."""
+    def texts(group: pa.Table) -> Iterator[tuple[int, np.ndarray, Cores, np.ndarray, np.ndarray]]:
+        """Of each part: where it begins, its bytes and cores, which cores are of rows with an id, and their ids."""
         data, offsets = byte_view(group.column("_text"))
         null = group.column("_id").is_null().to_numpy()
         ids = group.column("_id").fill_null(0).to_numpy()
-        for a, b in parts_of(offsets):
-            part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            at, h = anchors(part, offs, length)
-            owner = np.searchsorted(offs, at, side="right") - 1
-            known = ~null[a:b][owner]
-            yield part, offs, ids[a:b], at[known], owner[known], h[known]
-
-    def send_anchors(group: pa.Table) -> pa.Table:
+        for lo, hi, offs in parts_of(offsets, length):
+            found = Cores(data[lo:hi], offs, length)
+            owner = np.searchsorted(offsets, lo + found.at, side="right") - 1
+            known = np.flatnonzero(~null[owner])
+            yield lo, data[lo:hi], found, known, ids[owner[known]]
+
+    def send_cores(group: pa.Table) -> pa.Table:
         pairs = [np.zeros((2, 0), np.uint64)]
-        for _, _, ids, _, owner, h in texts(group):
-            pairs.append(np.stack([h, ids[owner].view(np.uint64)]))
+        for _, _, found, known, ids in texts(group):
+            pairs.append(np.stack([found.hash[known], ids.view(np.uint64)]))
         h, ids = np.concatenate(pairs, axis=1)
         order = np.argsort(h, kind="stable")
         h, ids = h[order], ids[order]
@@ -242,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
         h, out = h[first], {"bucket": [], "block": [], "h": []}
         block = group.column("block")[0].as_py()
-        for bucket, part in _by_bucket(h, n_blocks):
+        for bucket, part in _by_bucket(h, n_buckets):
             out["bucket"].append(bucket)
             out["block"].append(block)
             out["h"].append(_five_bytes(_short(h[part]) | (several[part].astype(np.uint64) << SENT)))
@@ -270,18 +298,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = {bucket: np.sort(_from_five(h)) for bucket, h in zip(shared.column("bucket").to_pylist(), shared.column("h").to_pylist(), strict=True)} if shared.num_rows else {}
         if group.num_rows and len(wanted):
             found: list[tuple] = []
-            for data, offs, ids, at, owner, h in texts(group):
+            for _, data, cores, known, ids in texts(group):
+                h = cores.hash[known]
                 some = np.zeros(len(h), bool)
-                for bucket, part in _by_bucket(h, n_blocks):
+                for bucket, part in _by_bucket(h, n_buckets):
                     if bucket in wanted:
                         some[part] = np.isin(_short(h[part]), wanted[bucket])
                 if some.any():
-                    matrix = contexts(data, offs, at[some], owner[some], length)
-                    found.append(_distinct(context_hash(matrix), h[some], ids[owner[some]], ids[owner[some]], matrix))
+                    key, one, low, high = _distinct(cores.key[known[some]], np.flatnonzero(some), ids[some], ids[some])
+                    found.append((key, h[one], low, high, cores.contexts(data, known[one])))
             if found:
-                _, h, low, high, matrix = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                key, h, low, high, matrix = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, one, low, high = _distinct(key, np.arange(len(key)), low, high)
+                h, matrix = h[one], matrix[one]
                 block = group.column("block")[0].as_py()
-                for bucket, part in _by_bucket(h, n_blocks):
+                for bucket, part in _by_bucket(h, n_buckets):
                     for k, v in zip(kinds, (bucket, block, _packed(low[part]), _packed(high[part]), _packed(matrix[part])), strict=True):
                         out[k].append(v)
         return _blobs(out, kinds)
@@ -292,16 +323,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         each = _unpacked(group.column("low"), np.int64)
         low, high = np.concatenate(each), np.concatenate(_unpacked(group.column("high"), np.int64))
         matrix = np.concatenate(_unpacked(group.column("context"), np.uint8)).reshape(len(low), -1)
-        h, keys = _anchor_hashes(matrix, left), context_hash(matrix)
+        h, keys = _hashes(matrix, length)
         found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         smallest = np.full(len(found), NEVER)
         np.minimum.at(smallest, at, low)
-        windows = shared_windows(np.ascontiguousarray(matrix[first]), smallest, length)
+        windows = shared_windows(matrix[first], h[first], smallest, length)
         a = 0
         for block, count in zip(group.column("block").to_pylist(), map(len, each), strict=True):
             b = a + count
             table = np.where(windows[at[a:b]] < high[a:b, None], windows[at[a:b]], NEVER)
-            padded = np.full((b - a, left + 3), NEVER)
+            padded = np.full((b - a, table.shape[1] + 2), NEVER)
             padded[:, 1:-1] = table
             change = padded[:, 1:] != padded[:, :-1]
             r, o = np.nonzero(change[:, :-1] & (table < NEVER))
@@ -318,44 +349,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted, keys, first, last, low = (_joined(runs.column(c), t) if runs.num_rows else np.zeros(0, t) for c, t in (("h", np.uint64), ("context", np.uint64), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
         order = np.argsort(keys, kind="stable")
         keys, first, last, low = keys[order], first[order].astype(np.int64), last[order].astype(np.int64), low[order]
-        wanted = np.unique(wanted)
-        kept, numbers, spans = [], [], []
         data, offsets = byte_view(group.column("_text")) if group.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        steps = texts(group) if len(wanted) and group.num_rows else ((data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None, None, None, np.zeros(0, np.uint64)) for a, b in parts_of(offsets))
-        for part, offs, ids, at, owner, h in steps:
-            change = np.zeros(len(part) + 1, np.int32)
-            if len(h):
-                some = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                at, owner = at[some], owner[some]
-                key = context_hash(contexts(part, offs, at, owner, length))
-                a, b = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
-                each = np.repeat(np.arange(len(at)), b - a)
-                run = np.arange(len(each)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-                good = low[run] < ids[owner[each]]
-                each, run = each[good], run[good]
-                np.add.at(change, at[each] - last[run], 1)
-                np.add.at(change, at[each] - first[run] + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            for x, y in zip(offs[:-1], offs[1:], strict=True):
-                out = gone[x:y]
-                edge = np.diff(np.concatenate([[0], out.view(np.int8), [0]]))
-                s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                kept.append(part[x:y][~out].tobytes() if len(s) else part[x:y].tobytes())
-                numbers.append((int(y - x), int(out.sum()), len(s)))
-                spans.append((s.tolist(), e.tolist()))
-        columns = [group.column(f"k_{c}") for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())] + [pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)] + [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
+        gone = np.zeros(len(data), bool)
+        for lo, part, cores, known, ids in texts(group) if len(wanted) and group.num_rows else ():
+            a, b = (np.searchsorted(keys, cores.key[known], side=x) for x in ("left", "right"))
+            each = np.repeat(np.arange(len(known)), b - a)
+            run = np.arange(len(each)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+            good = low[run] < ids[each]
+            start, run = cores.first[known[each[good]]], run[good]
+            change = np.bincount(start + first[run], minlength=len(part) + 1) - np.bincount(start + last[run] + length, minlength=len(part) + 1)
+            gone[lo : lo + len(part)] |= np.cumsum(change[:-1]) > 0
+        kept, numbers, spans = [], [], []
+        for x, y in zip(offsets[:-1], offsets[1:], strict=True):
+            out = gone[x:y]
+            edge = np.diff(np.concatenate([[0], out.view(np.int8), [0]]))
+            s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            kept.append(data[x:y][~out].tobytes() if len(s) else data[x:y].tobytes())
+            numbers.append((int(y - x), int((e - s).sum()), len(s)))
+            spans.append((s, e))
+        lists = lambda k: pa.array([s[k] for s in spans], pa.list_(pa.int64()))
+        columns = [group.column(f"k_{c}") for c in keep] + [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())] + [pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)] + [lists(0), lists(1)]
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
-    sent = blocks.groupBy("block").applyInArrow(send_anchors, "bucket int, block int, h binary")
+    sent = blocks.groupBy("block").applyInArrow(send_cores, "bucket int, block int, h binary")
     shared = sent.groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, h binary")
     held = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_contexts, "bucket int, block int, low binary, high binary, context binary")
     runs = held.groupBy("bucket").applyInArrow(compare, "block int, h binary, context binary, first binary, last binary, low binary")
     return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(cover, T.StructType(fields))
 
 
-def _distinct(key: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray, matrix: np.ndarray) -> tuple:
-    """One row a key, with the smallest low and the largest high."""
+def _distinct(key: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
+    """One entry a key, with a row of it, the smallest low and the largest high."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], h[order][first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), matrix[order[first]]
+    return key[first], row[order[first]], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)

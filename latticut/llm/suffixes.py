@@ -10,8 +10,12 @@ that end where it begins, so groups are ordered without renaming symbols.
 from __future__ import annotations
 
 
-def suffix_array(text: list[int]) -> list[int]:
+import numpy as np
+
+
+def suffix_array(text: list[int] | np.ndarray) -> list[int]:
     """Starts of the suffixes of a sequence of non-negative integers, in order; a proper prefix comes first."""
+    text = np.asarray(text)
     n = len(text)
     if n == 0:
         return []
@@ -19,21 +23,17 @@ def suffix_array(text: list[int]) -> list[int]:
     return _emitted(n, group, previous, size)
 
 
-def _lyndon_groups(text: list[int]) -> tuple[list[int], list[int], dict[int, int]]:
+def _lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int], dict[int, int]]:
     """For each suffix its group, named by the rank of its first member, and the nearest suffix to the left in a lower group (-1: none); sizes by group."""
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place = [0] * n
-    for at, s in enumerate(order):
-        place[s] = at
-    group, size = [0] * n, {}
-    start = 0
-    for at in range(1, n + 1):
-        if at == n or text[order[at]] != text[order[start]]:
-            size[start] = at - start
-            for k in range(start, at):
-                group[order[k]] = start
-            start = at
+    # a stable sort of 16-bit symbols counts them
+    by = np.argsort(text.astype(np.uint16) if text.max() < 1 << 16 else text, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], text[by][1:] != text[by][:-1]]))
+    counts = np.diff(np.append(heads, n))
+    place, first = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[by], first[by] = np.arange(n), np.repeat(heads, counts)
+    order, place, group = by.tolist(), place.tolist(), first.tolist()
+    size = dict(zip(heads.tolist(), counts.tolist(), strict=True))
     previous = [-1] * n
     end = n - 1
     while end >= 0:

@@ -1,14 +1,12 @@
 """Operators on texts against plain versions, on edge cases: nulls, empty and long texts, ties, repeats, empty tables."""
 
 import base64
-import hashlib
 import random
 import re
 from collections import Counter
 
 import pytest
 
-import corpus_pipeline
 from latticut.llm import bpe, html, licenses, near_dups, packing, quality_rules, substrings
 from latticut.llm.suffixes import suffix_array
 
@@ -124,23 +122,47 @@ def test_outliers_are_rejected(frame):
     assert all(got[k] for k in range(200)) and not any(got[500 + k] for k in range(10))
 
 
-def test_packing(frame):
+def plain_fills(rows, capacity, per_source):
+    """How full each bin is if each row (id, length, source, cluster) goes to the tightest bin that takes it, found by looking at all."""
+    bins = []
+    order = sorted(range(len(rows)), key=lambda k: (-(rows[k][1] % capacity or min(rows[k][1], capacity)), -rows[k][1], rows[k][0] is None, rows[k][0] or 0, rows[k][2] or "", rows[k][3]))
+    for k in order:
+        _, left, source, cluster = rows[k]
+        bins += [[0, Counter(), set()] for _ in range((left - 1) // capacity)]
+        left -= max(0, (left - 1) // capacity) * capacity
+        best = min((b for b in bins if b[0] > 0 and b[0] >= left and b[1][source] < per_source and cluster not in b[2]), key=lambda b: b[0], default=None)
+        if best is None:
+            bins.append(best := [capacity, Counter(), set()])
+        best[0] -= left
+        best[1][source] += 1
+        best[2].add(cluster)
+    return [capacity - b[0] for b in bins]
+
+
+def test_packing_takes_the_tightest_bin(spark):
     rng = random.Random(6)
-    rows = [(k, " ".join(["w"] * rng.randrange(1, 90) + [str(k // 2)])) for k in range(120)] + [(900, None), (901, "a " * 250)]
-    docs = frame(rows, "bin_id")
-    got = packing.pack(docs, capacity=100, per_source=3, shard_rows=1000).collect()
-    texts = dict(rows)
-    bins: dict = {}
-    for r in got:
-        bins.setdefault(r["bin_id"], []).append(r)
-    for held in bins.values():
-        assert sum(r["length"] for r in held) <= 100 and len(held) <= 3
-        names = [" ".join(WORD.findall((texts[r["doc_id"]] or "").lower())) for r in held]
-        assert len(names) == len(set(names))
-    total = Counter()
+    rows = [(k if rng.random() < 0.9 else None, rng.choice([0, 7, 7, rng.randint(1, 140), 100, 200, 250]), rng.choice(["a", "b", None]), rng.randint(0, 40)) for k in range(500)]
+    rows += [(1000, 7, "a", 77)] * 60  # repeats: each conflicts with the others
+    docs = spark.createDataFrame([(i, "", s, n, c, "x") for i, n, s, c in rows], "doc_id long, text string, source string, n long, c long, bin_id string")
+    got = packing.pack(docs, capacity=100, per_source=3, shard_rows=10_000, length=docs["n"], cluster=docs["c"]).collect()
+    held, total = Counter(), Counter()
     for r in got:
+        held[r["bin_id"]] += r["length"]
         total[r["doc_id"]] += r["length"]
-    assert total == Counter({i: len(WORD.findall(t or "")) for i, t in rows}) and 900 in {r["doc_id"] for r in got}
+    assert total == sum((Counter({i: n}) for i, n, _, _ in rows), Counter()) + Counter()
+    assert sorted(held.values()) == sorted(plain_fills(rows, 100, 3))
+
+
+def test_packing_of_texts(frame):
+    rows = [(1, "a b c"), (2, None), (3, "d " * 250), (None, "a b c"), (None, "a b c")]
+    got = packing.pack(frame(rows, "bin_id"), capacity=100).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 1, 2: 1, 3: 3, None: 2}
+    assert sorted((r["doc_id"] or 0, r["piece"], r["offset"], r["length"], r["n_words"]) for r in got) == [(0, 0, 0, 3, 3)] * 2 + [(1, 0, 0, 3, 3), (2, 0, 0, 0, 0), (3, 0, 0, 100, 250), (3, 1, 100, 100, 250), (3, 2, 200, 50, 250)]
+    bins = Counter(r["bin_id"] for r in got if r["length"] == 3)
+    assert max(bins.values()) == 1  # copies never share a bin
+    # a table of one row over and over takes as many shards as others
+    many = frame([(None, "same")] * 3000)
+    assert packing.pack(many, capacity=100, shard_rows=500).select("shard").distinct().count() == 6
 
 
 def test_empty_tables(frame, tokens):
@@ -148,33 +170,3 @@ def test_empty_tables(frame, tokens):
     assert bpe.encode(none, tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN).count() == 0
     assert licenses.recognise(none).count() == near_dups.near_duplicates(none).count() == 0
     assert substrings.remove_repeats(none).count() == quality_rules.judge(none).count() == packing.pack(none).count() == 0
-
-
-def test_pipeline_stages_keep_columns(spark, frame):
-    docs = frame([(k, f"text number {k} with words " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(30)])
-    kept = corpus_pipeline.quality_rules_stage(spark, docs, "")
-    assert kept.columns == docs.columns and kept.count() == 30
-    assert corpus_pipeline.near_dups_stage(spark, docs, "").columns == docs.columns
-    left = corpus_pipeline.substrings_stage(spark, docs, "")
-    assert left.columns == docs.columns and left.count() == 30
-    assert hashlib.sha256(left.where("doc_id = 0").first()["text"].encode()).hexdigest()
-
-
-def test_pipeline_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
-    good = "The river runs past the old mill and the boats lie still until the evening bell rings number {}."
-    rows = [(k, " ".join(good.format(k * 7 + j) for j in range(6)), "en", "s") for k in range(40)]
-    rows += [(100, None, None, None), (101, "", "en", None), (None, good, None, "s"), (102, rows[0][1], "en", "s"), (102, rows[0][1], "en", "s")]
-    names = ["score", "n_removed", "kept", "bin_id", "_id", "_whole"]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
-    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *names) for r in rows], schema)
-    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int")
-    for n, (d, l) in enumerate(((docs, labels), (docs.limit(0), labels.limit(0)))):
-        l.write.parquet(f"{tmp_path}/{n}/labels.parquet")
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            left = stage(spark, d, f"{tmp_path}/{n}")
-            assert left.columns == docs.columns
-            assert all([r[c] for c in names] == names for r in left.collect())
-            d = left
-        packed = corpus_pipeline.STAGES[-1][1](spark, d, f"{tmp_path}/{n}")
-        assert packed.count() >= d.count()
-        assert n == 0 or packed.count() == 0

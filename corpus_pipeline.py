@@ -2,7 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns the documents it keeps, with the
 columns of documents; the last one returns the sequences. ORACLE_SQL is None, as SQL can't express
-the robust estimates, the classifier and the packing; tests hold the stages against brute force.
+the robust estimates, the classifier and the packing; tests hold every stage against a plain version.
+
+In all stages null and empty texts are empty, texts of any length are read whole, an empty table gives an empty one,
+and columns may have any names, those that operators give to results included. No stage joins rows by doc_id: null
+and repeated ids are rows like others, and a verdict stays with its row.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ def apart(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Colum
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what fails the base limits or lies far out of its language and source."""
+    """Rejects rows that fail the base limits or lie far out of their language and source.
+
+    Null and empty texts have no words and go. A null language or source is a group of its own; repeated rows are
+    judged alike. A row exactly at the cutoff stays.
+    """
     rows, back = apart(docs, ("lang", "source"))
     names = dict(zip(docs.columns, rows.columns, strict=True))
     keep = tuple(c for c in rows.columns if c not in ("lang", "source"))
@@ -36,7 +44,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what scores below LEAST_QUALITY. The model learns from the documents that are still there."""
+    """Rejects rows that score below LEAST_QUALITY. The model learns from the documents that are still there.
+
+    Rows without an id have no label, but a score like others; so have empty texts. A score of LEAST_QUALITY stays.
+    """
     model = classify.quality_model(docs, table(spark, sf_dir, "labels"), where=~held_out())
     rows, back = apart(docs, ("doc_id", "text"))
     scored = classify.quality_scores(rows.withColumn("_whole", F.col("text")), model, text_col="_whole", keep=rows.columns)
@@ -44,13 +55,24 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity 0.8."""
-    gone = near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    It is the one with the smallest id, a null id last; of rows that repeat that id any one. Rows without words are
+    nobody's duplicates and stay.
+    """
+    rows, back = apart(docs, ("doc_id", "text"))
+    # a number of its own brings each row's verdict back to it
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    gone = near_dups.near_duplicates(rows, keep=("_row",), row_col="_row").where("not first").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*back)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes 50-byte strings that an earlier document has; n_chars is that of the text that is left."""
+    """Removes 50-byte strings that a row with a smaller id has; n_chars is that of the text that is left.
+
+    All rows stay, if only with an empty text. Rows with a null id lose nothing and take nothing; rows that repeat
+    an id take nothing from one another. A character of which bytes were removed goes whole.
+    """
     rows, back = apart(docs, ("doc_id", "text", "n_chars"))
     found = substrings.remove_repeats(rows, keep=[c for c in rows.columns if c != "text"], as_text=True)
     changed = found.withColumnRenamed("kept", "text")
@@ -60,8 +82,12 @@ def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and the sequences that they are packed into."""
-    return packing.pack(docs)
+    """Pieces of documents and the sequences that they are packed into.
+
+    Documents with the same least five-word shingle are a duplicate cluster, as near duplicates proper are gone by
+    now; two conflict with the probability of their similarity. Empty texts are pieces of no words. Ties: see packing.
+    """
+    return packing.pack(docs, cluster=packing.similar_cluster(F.coalesce(F.col("text"), F.lit(""))))
 
 
 STAGES = [

@@ -128,12 +128,11 @@ def parities(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8").astype(np.uint64).reshape(len(counts), PARITY)
 
 
-def signatures(docs: DataFrame, width: int, a_band: int, id_col: str, text_col: str, keep: tuple[str, ...], row_col: str | None) -> DataFrame:
+def signatures(docs: DataFrame, width: int, a_band: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """doc_id, row (a number of its own) and key (by which its text is found again) of each row; n_shingles, f1 and f2 (the set's 128-bit sum), parity and bands."""
     small_batches(docs.sparkSession)
     text, doc = text_column(docs, text_col), F.col(id_col).cast("long")
-    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
-    rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], doc.alias("doc_id"), row.alias("row"), _key(doc, text, row_col).alias("key"), text.alias("text"))
+    rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], doc.alias("doc_id"), F.monotonically_increasing_id().alias("row"), _key(doc, text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.field("element", pa.int64()))
@@ -155,15 +154,15 @@ def signatures(docs: DataFrame, width: int, a_band: int, id_col: str, text_col:
     return rows.mapInArrow(run, schema)
 
 
-def _key(doc: Column, text: Column, row_col: str | None) -> Column:
-    """By which a row's text is found: its number if it has one, else its id, or a hash of the text where that is null."""
-    return F.coalesce(doc, F.xxhash64(text)) if row_col is None else F.col(row_col).cast("long")
+def _key(doc: Column, text: Column) -> Column:
+    """By which a row's text is found again: its id, or a hash of the text where that is null."""
+    return F.coalesce(doc, F.xxhash64(text))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """node and its full set of hashes, for the wanted nodes (node, key, f1, f2) only."""
     text = text_column(docs, text_col)
-    rows = docs.select(_key(F.col(id_col).cast("long"), text, row_col).alias("key"), text.alias("text")).join(wanted, "key")
+    rows = docs.select(_key(F.col(id_col).cast("long"), text).alias("key"), text.alias("text")).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,23 +288,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, inter: int = 80, union: int = 100, keep: tuple[str, ...] = (), row_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, inter: int = 80, union: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and first of every row, and its columns in keep.
 
     Rows are linked when union * |intersection| >= inter * |union of sets|; inter / union of 0.8 and more.
     component_id: the smallest id of the component; kept: this is the row's id. first: true for one row of each
-    component, of the smallest id, and for every row with an empty set. row_col: a column of numbers that no two rows share, by which their texts
-    are found again, if there is one.
+    component, of the smallest id, and for every row with an empty set.
     """
-    signed = written(signatures(docs, width, band_rows(inter, union), id_col, text_col, keep, row_col), "signatures")
+    signed = written(signatures(docs, width, band_rows(inter, union), id_col, text_col, keep), "signatures")
     full = signed.where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "key")).alias("least")
     classes = full.groupBy("f1", "f2").agg(least, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("bands").alias("bands"))
     # a class is told by 128 bits, its node in the graph of links by 64 of them
     reps = written(classes.withColumn("node", F.col("f1")), "classes")
-    banded = written(reps.select("node", F.explode("bands").alias("band")), "bands")
+    banded = reps.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("_m")).where("least < most").drop("most")
-    members = written(attached(banded, buckets, ["band"], "_m", banded.count(), "inner"), "buckets")
+    members = written(attached(banded, buckets, ["band"], "_m", reps.count() * (BINS // band_rows(inter, union)), "inner"), "buckets")
     star = written(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
     light = reps.select("node", "n", "parity")
     counted, _ = _counted(star, "a")
@@ -314,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = salted(ends, centres, "a", "_m").where(_likely("na", "nb", "pa", "pb", inter, union))
     tried = written(likely.select("a", "b"), "tried")
     wanted = members.select("node").distinct().join(reps.select("node", F.col("least.key").alias("key"), "f1", "f2"), "node")
-    sets = written(_sets(docs, wanted, width, id_col, text_col, row_col), "sets")
+    sets = written(_sets(docs, wanted, width, id_col, text_col), "sets")
     edges = written(_verified(tried, sets, inter, union), "links")
     labels = components(edges)
 

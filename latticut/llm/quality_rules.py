@@ -188,18 +188,16 @@ def estimates(cells: DataFrame, groups: list[str], share: float, tolerance: floa
     return least.select(*groups, *[F.col(f"b.{c}").alias(c) for c in (*parts, "_m", "_det")])
 
 
-def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, tolerance: float = 0.001, quantile: float = 0.999, min_group: int = 50, floor: tuple[float, ...] = (0.03, 0.04, 0.06, 0.08), bins: float = 32.0, grid: int = 8) -> DataFrame:
-    """The rows with d2, and kept: passed the base limits and not beyond the cutoff of its group's robust estimate.
+def fitted(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), share: float = 0.75, tolerance: float = 0.001, min_group: int = 50, floor: tuple[float, ...] = (0.03, 0.04, 0.06, 0.08), bins: float = 32.0, grid: int = 8) -> DataFrame:
+    """Each group's robust estimate: its centre and inverse scatter.
 
     share: of a group's rows that the estimate is fitted to; tolerance: concentration steps go on while a
-    group's determinant falls by more than this share; quantile: of chi-square with as many degrees as there are
-    statistics, the largest squared distance that is kept; floor: least standard deviation of each statistic;
-    min_group: least rows of a group with an estimate of its own; bins: bins per unit of log(1 + squared distance),
-    by which the nearest share is found; grid: cells of the grid per floor.
+    group's determinant falls by more than this share; min_group: least rows of a group with an estimate of its own;
+    floor: least standard deviation of each statistic; bins: bins per unit of log(1 + squared distance), by which the
+    nearest share is found; grid: cells of the grid per floor.
     """
     by, groups = list(groups), ["_level", *(f"_by_{g}" for g in groups)]
-    rows = stats.select("*", *_features())
-    cells = written(_cells(rows.where(~F.col("base_failed")), by, floor, grid), "mcd-cells")
+    cells = written(_cells(stats.select("*", *_features()).where(~F.col("base_failed")), by, floor, grid), "mcd-cells")
     sizes = cells.groupBy(*by).agg(F.sum("_w").alias("_size"))
     # level k leaves out the last k of the columns; a group's rows are judged at its first level with enough rows
     counts = [F.sum("_size").over(W.partitionBy(*by[: len(by) - k])) for k in range(len(by) + 1)]
@@ -211,10 +209,22 @@ def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), sha
     at = [f"_c{i}" for i in range(len(FEATURES))]
     pooled = cells.withColumn("_level", F.explode(levels)).select("_level", *masked, *at, "_w").groupBy(*groups, *at).agg(F.sum("_w").alias("_w"))
     found = estimates(written(pooled, "mcd-pooled"), groups, share, tolerance, floor, bins, grid)
-    models = _with(chosen.select(*by, "_level", *masked), found.drop("_det"), groups).drop(*groups)
-    judged = _distance(_with(rows, written(models, "mcd-models"), by))
+    return written(_with(chosen.select(*by, "_level", *masked), found.drop("_det"), groups).drop(*groups), "mcd-models")
+
+
+def verdicts(stats: DataFrame, models: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.999) -> DataFrame:
+    """The rows with d2, and kept: passed the base limits and not beyond the cutoff of its group's estimate.
+
+    quantile: of chi-square with as many degrees as there are statistics, the largest squared distance that is kept.
+    """
+    rows = _distance(_with(stats.select("*", *_features()), models, list(groups)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= _chi2_quantile(quantile, len(FEATURES)), F.lit(True))
-    return judged.select(*stats.columns, F.col("_d2").alias("d2"), kept.alias("kept"))
+    return rows.select(*stats.columns, F.col("_d2").alias("d2"), kept.alias("kept"))
+
+
+def outliers(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), quantile: float = 0.999, **options) -> DataFrame:
+    """verdicts() by fitted() on the same rows."""
+    return verdicts(stats, fitted(stats, groups, **options), groups, quantile)
 
 
 def _chi2(x: float, k: int) -> float:
@@ -232,6 +242,10 @@ def _chi2_quantile(share: float, k: int) -> float:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """Statistics and verdict of every row, and its columns in keep."""
-    stats = written(statistics(docs, id_col, text_col, keep=(*groups, *keep)), "quality-stats")
-    return outliers(stats, groups, **options)
+    """Statistics and verdict of every row, and its columns in keep.
+
+    Statistics are written, to be read again for verdicts. With columns to keep, which may be the texts, they are
+    made anew instead, so that no text is written or shuffled.
+    """
+    stats = written(statistics(docs, id_col, text_col, keep=groups), "quality-stats")
+    return outliers(stats, groups, **options) if not keep else verdicts(statistics(docs, id_col, text_col, keep=(*groups, *keep)), fitted(stats, groups, **options), groups)

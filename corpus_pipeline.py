@@ -61,10 +61,14 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     nobody's duplicates and stay.
     """
     rows, back = apart(docs, ("doc_id", "text"))
-    # a number of its own brings each row's verdict back to it
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = near_dups.near_duplicates(rows, keep=("_row",), row_col="_row").where("not first").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*back)
+    # what a row is told by: 128 bits of its id and text
+    rows = rows.withColumns({"_c1": F.xxhash64("doc_id", "text"), "_c2": F.xxhash64("text", "doc_id", F.length("text"))})
+    found = near_dups.near_duplicates(rows.select("doc_id", "text", "_c1", "_c2"), keep=("_c1", "_c2"))
+    told = written(found.groupBy("_c1", "_c2").agg(F.count("*").alias("_n"), F.sum(F.col("first").cast("long")).alias("_stay")).where("_stay < _n"), "verdicts")
+    key = ["_c1", "_c2"]
+    # of rows that agree in id and text one stays, whichever
+    one = rows.join(told.where("_stay > 0"), key, "left_semi").dropDuplicates(key)
+    return rows.join(told, key, "left_anti").unionByName(one).select(*back)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

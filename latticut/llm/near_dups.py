@@ -4,7 +4,7 @@ A document's set is its distinct word shingles. Sketching throws the whole set i
 rounds, each round by a new hash, and a bin keeps the least value of the first round that reached it;
 after as many rounds as bins, round t + j throws everything into bin j, so every bin fills. Equal
 sets are one class from the start. Bands of the classes' sketches make candidate buckets; each
-bucket's members are verified against its least member on their full sets. Members of buckets that
+bucket's members are verified against one of them, its centre, on their full sets. Members of buckets that
 are not all connected then are compared further: pairs of other components that share one of their
 rarest shingles, without which no two sets can be so similar, are verified too. So no link is lost
 because a bucket is large, and large groups don't make all pairs. Components are the connected classes.
@@ -41,7 +41,7 @@ MISSED = 1e-6
 PARITY = 16
 #: Pairs are made of sets that share an item which FEW of them have at most. Sets with a more frequent item
 #: are compared in blocks of BLOCK sets, and no pairs but links are made; both ways find the same links.
-FEW, BLOCK = 24, 1024
+FEW, BLOCK = 24, 256
 
 
 def band_rows(inter: int, union: int) -> int:
@@ -302,9 +302,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class is told by 128 bits, its node in the graph of links by 64 of them
     reps = written(classes.withColumn("node", F.col("f1")), "classes")
     banded = reps.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("_m")).where("least < most").drop("most")
-    members = written(attached(banded, buckets, ["band"], "_m", reps.count() * (BINS // band_rows(inter, union)), "inner"), "buckets")
-    star = written(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("_m")).where("_m > 1")
+    sized = written(attached(banded, buckets, ["band"], "_m", reps.count() * (BINS // band_rows(inter, union)), "inner"), "buckets")
+    # a bucket's centre is the member that meets most others in all of its buckets: what others were copied from, rather than one of the copies
+    ranked = sized.join(sized.groupBy("node").agg(F.sum("_m").alias("met")), "node")
+    centres = ranked.groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("centre"), F.first("_m").alias("_m"))
+    members = written(attached(sized.drop("_m"), centres, ["band"], "_m", sized.count(), "inner"), "members")
+    star = written(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     light = reps.select("node", "n", "parity")
     counted, _ = _counted(star, "a")
     ends = counted.join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
@@ -317,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
 
     # what buckets hold beyond one component is searched for links across components
-    named = written(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
+    named = written(members.where("node <> centre").select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
+    # centres have been compared with all others
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_m")).where("lo < hi")
     open_ = attached(named, split, ["band"], "_m", named.count(), "inner").select("node", "component").distinct()
     open_ = written(open_.join(light, "node"), "open")
@@ -327,7 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = shared.where(F.col("count") <= FEW)
     x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("node", "component")]) for s in ("x", "y"))
     across = x.join(y, (x["item"] == y["item"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")))
-    across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         across = across.join(light.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
     rest = written(across.where(_likely("na", "nb", "pa", "pb", inter, union)).select("a", "b"), "across")

@@ -156,6 +156,15 @@ class Rolling:
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def rough(self, k: int) -> np.ndarray:
+        """Of each k-byte slice a hash that is good in its high bits."""
+        n = len(self.sums) - k
+        h = self.sums[k:] - self.sums[:-k]
+        h *= self.down[:n]
+        h ^= h >> np.uint64(29)
+        h *= MIX1
+        return h
+
     def windows(self, k: int) -> np.ndarray:
         """The hash of each k-byte slice."""
         n = len(self.sums) - k

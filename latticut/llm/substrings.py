@@ -7,9 +7,9 @@ the same core make a context: the bytes from the first one's start to the last o
 1. Each block sends each core's hash once; those that two documents have come back to the blocks.
 2. Each block sends, once for each distinct context of a shared core, its bytes with the smallest and largest
    document id that has it there.
-3. A task has all contexts of its cores. Where a core has several contexts, their bytes are laid end to end and a
-   suffix array is built by linear grouping; windows that agree are neighbours in it, and of each run of neighbours
-   with min_bytes bytes in common every window gets the smallest id.
+3. A task has all contexts of its cores. Where a core's contexts have several smallest ids, they are laid end to end,
+   byte by byte but for the core, which is one symbol, and a suffix array is built by linear grouping. Windows that
+   agree are neighbours in it; of each run of neighbours with a whole window in common each gets the smallest id.
 4. Blocks get back which windows of each context a smaller id has, and cover their bytes.
 
 Without the first two steps, the suffix arrays would be over all texts; they leave out only windows that no other
@@ -40,8 +40,8 @@ from .suffixes import suffix_array
 K = 32
 #: Texts are hashed in parts of about so many bytes, to bound a worker's memory.
 PART = 1 << 20
-#: Symbols of a suffix array, if no core has more.
-BATCH = 1 << 19
+#: Symbols of a suffix array, if no core has more; larger ones fall out of the caches.
+BATCH = 1 << 14
 #: Bits of a hash that are sent besides its bucket. Buckets hold a bounded number of hashes, so two
 #: hashes seldom look alike; if they do, they make a candidate more, which the contexts then tell apart.
 SENT = np.uint64(39)
@@ -69,20 +69,27 @@ class Cores:
         if len(data) < length:
             return
         rolling = Rolling(data)
-        h = rolling.windows(K)
+        keys = rolling.rough(K)
         # ties go to the place furthest right
-        place = _PLACE - np.arange(len(h), dtype=np.uint64)
-        least = _sliding_least((h & ~_PLACE) | place, w)
-        at = (_PLACE - (least & _PLACE)).astype(np.int64)
-        row = np.searchsorted(offsets, np.arange(len(at)), side="right") - 1
-        starts = np.flatnonzero(np.arange(len(at)) + length <= offsets[row + 1])  # windows that cross texts don't count
+        keys &= ~_PLACE
+        keys |= _PLACE - np.arange(len(keys), dtype=np.uint64)
+        least = _sliding_least(keys, w)
+        # windows that cross texts don't count
+        sizes = np.diff(offsets)
+        inside = np.ones(len(least), bool)
+        for end in offsets[1:-1]:
+            inside[max(0, end - length + 1) : end] = False
+        if (sizes < length).any():
+            inside &= ~np.repeat(sizes < length, sizes)[: len(inside)]
+        starts = np.flatnonzero(inside)
         if not len(starts):
             return
-        at, row = at[starts], row[starts]
-        fresh = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
-        self.at, self.first = at[fresh], starts[fresh]
-        self.last = starts[np.concatenate([fresh[1:], [len(at)]]) - 1]
-        self.hash = h[self.at]
+        least = least[starts]
+        # a window's least key has its core's place, so it changes where the core does, or with the text
+        fresh = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        self.at, self.first = (_PLACE - (least[fresh] & _PLACE)).astype(np.int64), starts[fresh]
+        self.last = starts[np.concatenate([fresh[1:], [len(least)]]) - 1]
+        self.hash = rolling.slices(self.at, self.at + K)
         self.key = context_keys(rolling.slices(self.first, self.last + length), self.at - self.first, self.last - self.first)
 
     def contexts(self, data: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -148,43 +155,52 @@ def shared_windows(matrix: np.ndarray, cores: np.ndarray, smallest: np.ndarray,
     out = np.where(np.arange(length - K + 1) < windows[:, None], smallest[:, None], NEVER)
     order = np.argsort(cores, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], cores[order][1:] != cores[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    if not len(order):
+        return out
+    # contexts whose cores have no other smallest id need no comparing
+    unlike = np.minimum.reduceat(smallest[order], first) != np.maximum.reduceat(smallest[order], first)
     sizes = np.diff(np.append(first, len(order)))
-    several = order[np.repeat(sizes > 1, sizes)]
-    group = np.repeat(np.cumsum(sizes > 1), sizes)[np.repeat(sizes > 1, sizes)]
-    symbols = np.cumsum(windows[several] + length)
+    several, group = order[np.repeat(unlike, sizes)], np.repeat(np.cumsum(unlike), sizes)[np.repeat(unlike, sizes)]
+    symbols = np.cumsum(windows[several] + length - K + 1)
     a = 0
     while a < len(several):
-        # whole cores
-        b = max(int(np.searchsorted(symbols, (symbols[a - 1] if a else 0) + BATCH, side="right")), a + 1)
-        b = int(np.searchsorted(group, group[b - 1], side="right" if b == len(several) or group[b - 1] == group[a] else "left")) if b < len(several) and group[b] == group[b - 1] else b
+        # whole cores, one at least
+        b = int(np.searchsorted(symbols, (symbols[a - 1] if a else 0) + BATCH, side="right"))
+        b = max(int(np.searchsorted(group, group[min(b, len(group) - 1)], side="left")) if b < len(group) else b, int(np.searchsorted(group, group[a], side="right")))
         rows = several[a:b]
-        out[rows] = _by_suffixes(matrix[rows], smallest[rows], length)
+        out[rows] = _by_suffixes(matrix[rows], group[a:b] - group[a], smallest[rows], length)
         a = b
     return out
 
 
-def _by_suffixes(matrix: np.ndarray, smallest: np.ndarray, length: int) -> np.ndarray:
-    """shared_windows of some contexts, by the suffix array of their bytes."""
-    text, _, windows = _split(matrix, length)
-    ends = windows + length - 1
-    step = np.arange(text.shape[1] + 1)
-    laid = np.zeros((len(text), text.shape[1] + 1), np.uint16)
-    laid[:, :-1] = text.astype(np.uint16) + 1
+def _by_suffixes(matrix: np.ndarray, core: np.ndarray, smallest: np.ndarray, length: int) -> np.ndarray:
+    """shared_windows of some contexts, by the suffix array of their bytes; core: its number.
+
+    A core is one symbol, above all bytes: contexts are compared only with those of the same core. So a window is
+    the bytes before its core, the core, and the bytes after it: length - K + 1 symbols.
+    """
+    text, place, windows = _split(matrix, length)
+    n, wide = len(text), text.shape[1]
+    ends = windows + length - K  # symbols of each context, without its end
+    step = np.arange(wide - K + 2)
+    index = step + np.where(step > place[:, None], K - 1, 0)
+    laid = np.take_along_axis(text, np.minimum(index, wide - 1), axis=1).astype(np.int32) + 1
+    laid[np.arange(n), place] = 257 + core
     laid[step == ends[:, None]] = 0  # the end of a context is below all bytes
     symbols = laid[step <= ends[:, None]]
     starts = np.concatenate([[0], np.cumsum(ends + 1)[:-1]])
-    row = np.repeat(np.arange(len(text)), ends + 1)
+    row = np.repeat(np.arange(n), ends + 1)
     offset = np.arange(len(symbols)) - starts[row]
     order = np.array(suffix_array(symbols), np.int64)
     order = order[offset[order] < windows[row[order]]]
-    # neighbours with length symbols in common
+    # neighbours with a window in common
     agree = np.zeros(len(order), bool)
     for a in range(1, len(order), 1 << 14):
-        part = symbols[order[a - 1 : a + (1 << 14)][:, None] + np.arange(length)]
+        part = symbols[order[a - 1 : a + (1 << 14)][:, None] + np.arange(length - K + 1)]
         agree[a : a + len(part) - 1] = (part[1:] == part[:-1]).all(axis=1)
     runs = np.flatnonzero(~agree)
     low = np.minimum.reduceat(smallest[row[order]], runs)
-    out = np.full((len(text), length - K + 1), NEVER)
+    out = np.full((n, length - K + 1), NEVER)
     out[row[order], offset[order]] = np.repeat(low, np.diff(np.append(runs, len(order))))
     return out
 

@@ -45,15 +45,7 @@ def _lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int], dict[int, in
                 p = previous[p]
             previous[s] = p
             if p >= 0:
-                g = group[p]
-                last = g + size[g] - 1
-                if last > g:  # alone above its old group
-                    other, at = order[last], place[p]
-                    order[at], order[last] = other, p
-                    place[other], place[p] = at, last
-                    size[g] -= 1
-                    size[last] = 1
-                    group[p] = last
+                _lifted(p, order, place, group, size)
         else:
             members = sorted(order[start : end + 1])
             counts: dict[int, int] = {}
@@ -64,12 +56,28 @@ def _lyndon_groups(text: np.ndarray) -> tuple[list[int], list[int], dict[int, in
                 previous[s] = p
                 if p >= 0:
                     counts[p] = counts.get(p, 0) + 1
-            if counts:
+            if len(counts) == 1:
+                _lifted(next(iter(counts)), order, place, group, size)
+            elif counts:
                 _raised(counts, order, place, group, size)
         end = start - 1
     return group, previous, size
 
 
+def _lifted(p: int, order: list[int], place: list[int], group: list[int], size: dict[int, int]) -> None:
+    """Moves a suffix to the end of its group, as a group of its own."""
+    g = group[p]
+    k = size[g]
+    if k > 1:
+        last = g + k - 1
+        other, at = order[last], place[p]
+        order[at], order[last] = other, p
+        place[other], place[p] = at, last
+        size[g] = k - 1
+        size[last] = 1
+        group[p] = last
+
+
 def _raised(counts: dict[int, int], order: list[int], place: list[int], group: list[int], size: dict[int, int]) -> None:
     """Moves each group's counted suffixes to its end, those with higher counts further up, as groups of their own."""
     by_count: dict[int, list[int]] = {}
@@ -79,8 +87,9 @@ def _raised(counts: dict[int, int], order: list[int], place: list[int], group: l
         moved: dict[int, int] = {}
         for p in by_count[c]:
             g = group[p]
-            last = g + size[g] - 1 - moved.get(g, 0)
-            moved[g] = moved.get(g, 0) + 1
+            k = moved.get(g, 0)
+            last = g + size[g] - 1 - k
+            moved[g] = k + 1
             other, at = order[last], place[p]
             order[at], order[last] = other, p
             place[other], place[p] = at, last

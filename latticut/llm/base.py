@@ -44,15 +44,21 @@ def _deleted_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach: spark.checkpoint.dir; in local mode, where that is unset, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='latticut-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        _deleted_at_end(spark, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='latticut-')}"
+            _deleted_at_end(spark, _own[app])
+        found = _own[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
         _deleted_at_end(spark, spark.sparkContext.getCheckpointDir())

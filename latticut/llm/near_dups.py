@@ -5,9 +5,10 @@ rounds, each round by a new hash, and a bin keeps the least value of the first r
 after as many rounds as bins, round t + j throws everything into bin j, so every bin fills. Equal
 sets are one class from the start. Bands of the classes' sketches make candidate buckets; each
 bucket's members are verified against one of them, its centre, on their full sets. Members of buckets that
-are not all connected then are compared further: pairs of other components that share one of their
-rarest shingles, without which no two sets can be so similar, are verified too. So no link is lost
-because a bucket is large, and large groups don't make all pairs. Components are the connected classes.
+are not all connected then are compared further: all pairs of other components in a bucket of few, and in
+larger ones those pairs that share one of the first shingles in one order of all, without which no two sets can be so similar.
+So no link is lost because a bucket is large, and large groups don't make all pairs. Components are the
+connected classes.
 
 Before full sets are fetched, pairs go that can't be linked: those whose sizes differ too much, and those whose
 parity sketches (a bit for each of 1024 hash values, turned by each item) differ in more bits than linked sets have
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import BASE, Rolling, byte_view, checkpointed, lowered, mixed, ragged, small_batches, text_column, words_of, written
-from .skew import attached, salted
+from .skew import MOST_HOT, attached, salted
 
 BINS = 120
 #: Highest probability that a pair at the threshold shares no band.
 MISSED = 1e-6
 #: Bits of a parity sketch, in words of 64.
 PARITY = 16
-#: Pairs are made of sets that share an item which FEW of them have at most. Sets with a more frequent item
+#: Pairs are made of sets in a bucket of FEW at most, or that share an item which FEW of them have at most. Sets with a more frequent item
 #: are compared in blocks of BLOCK sets, and no pairs but links are made; both ways find the same links.
 FEW, BLOCK = 24, 256
 
@@ -199,22 +200,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, inter: int, union: int) -> Data
     return sized.where(union * F.col("shared") >= inter * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _rarest(sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """For each set (node, n, component, items) its rarest items, so many that two sets which are linked have one of them in common; a row an item.
+def _prefixes(sets: DataFrame, inter: int, union: int, rounds: int = 3) -> DataFrame:
+    """For each set (node, n, component, items) so many of its first items that two sets which are linked have one of them in common; a row an item.
 
     Of a linked pair, each set shares at least inter / union of its items with the other, so among the
     first of all items in any order that is the same for all sets, one more than may be missing, there
-    is a common one. In the order from rare to frequent, the items that all of a large group have come last.
+    is a common one. Items are in the order of their hashes, but those come last that were first in many sets in an
+    earlier round, MOST_HOT at most: so prefixes have few of the items that all of a large group have.
     """
-    items = written(sets.select("node", F.explode("items").alias("item")), "items")
-    frequent = items.groupBy("item").agg(F.count("*").alias("count")).where("count > 1")
-    counted = attached(items, frequent, ["item"], "count", items.count())
-    rows = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "item"))).alias("ordered"))
-    rows = rows.join(sets.select("node", "n", "component"), "node")
+    none = F.array().cast("array<long>")
+    sets, last = sets.withColumn("items", F.sort_array("items")), sets.sparkSession.range(1).select(none.alias("last"))
     # the least overlap is ceil(n * inter / union)
-    length = F.col("n") - F.ceil(F.col("n") * inter / union).cast("long") + 1
-    first = F.filter(F.slice("ordered", 1, F.least(F.col("n"), length + 1).cast("int")), lambda s: s["count"] > 1)
-    return rows.select("node", "component", F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
+    length = (F.col("n") - F.ceil(F.col("n") * inter / union) + 1).cast("int")
+    for left in range(rounds, 0, -1):
+        # one row with a bounded array
+        ordered = F.concat(F.array_except("items", "last"), F.array_intersect("items", "last"))
+        found = written(sets.crossJoin(F.broadcast(last)).select("node", "component", F.explode(F.slice(ordered, 1, length)).alias("item")), "prefixes")
+        often = found.groupBy("item").agg(F.count("*").alias("count")).where(F.col("count") > FEW).orderBy(F.desc("count"), "item").limit(MOST_HOT // rounds)
+        if left == 1 or often.isEmpty():
+            return found
+        last = last.crossJoin(F.broadcast(often.agg(F.collect_list("item").alias("more")))).select(F.array_union("last", "more").alias("last"))
 
 
 def _linked_in_blocks(rows: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
@@ -320,16 +325,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(_verified(tried, sets, inter, union), "links")
     labels = components(edges)
 
-    # what buckets hold beyond one component is searched for links across components
+    # what buckets hold beyond one component is searched for links across components; centres have been compared with all others
     named = written(members.where("node <> centre").select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
-    # centres have been compared with all others
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_m")).where("lo < hi")
-    open_ = attached(named, split, ["band"], "_m", named.count(), "inner").select("node", "component").distinct()
-    open_ = written(open_.join(light, "node"), "open")
-    prefixes = written(_rarest(open_.select("node", "n", "component").join(sets, "node"), inter, union), "prefixes")
+    inside = written(attached(named, split.select("band", "_m"), ["band"], "_m", named.count(), "inner"), "split")
+    open_ = inside.where(F.col("_m") > FEW).select("node", "component").distinct().join(light.select("node", "n"), "node")
+    prefixes = _prefixes(open_.join(sets, "node"), inter, union)
     by_item = prefixes.groupBy("item").agg(F.count("*").alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
     shared = written(attached(prefixes, by_item, ["item"], "count", prefixes.count(), "inner"), "shared")
-    few = shared.where(F.col("count") <= FEW)
+    few = shared.where(F.col("count") <= FEW).select("item", "node", "component").unionByName(inside.where(F.col("_m") <= FEW).select(F.col("band").alias("item"), "node", "component"))
     x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("node", "component")]) for s in ("x", "y"))
     across = x.join(y, (x["item"] == y["item"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")))
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _blobs(out, kinds)
 
     def compare(group: pa.Table) -> pa.Table:
-        kinds = {"block": pa.int32(), "h": pa.binary(), "context": pa.binary(), "first": pa.binary(), "last": pa.binary(), "low": pa.binary()}
+        kinds = {"block": pa.int32(), "context": pa.binary(), "first": pa.binary(), "last": pa.binary(), "low": pa.binary()}
         out: dict[str, list] = {k: [] for k in kinds}
         each = _unpacked(group.column("low"), np.int64)
         low, high = np.concatenate(each), np.concatenate(_unpacked(group.column("high"), np.int64))
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             r, o = np.nonzero(change[:, :-1] & (table < NEVER))
             _, e = np.nonzero(change[:, 1:] & (table < NEVER))
             if len(r):
-                for k, v in zip(kinds, (block, h[a:b][r].tobytes(), keys[a:b][r].tobytes(), o.astype(np.uint8).tobytes(), e.astype(np.uint8).tobytes(), table[r, o].tobytes()), strict=True):
+                for k, v in zip(kinds, (block, keys[a:b][r].tobytes(), _packed(o.astype(np.uint8)), _packed(e.astype(np.uint8)), _packed(table[r, o])), strict=True):
                     out[k].append(v)
             a = b
         return _blobs(out, kinds)
@@ -362,12 +362,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]
 
     def cover(group: pa.Table, runs: pa.Table) -> pa.Table:
-        wanted, keys, first, last, low = (_joined(runs.column(c), t) if runs.num_rows else np.zeros(0, t) for c, t in (("h", np.uint64), ("context", np.uint64), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
+        keys = _joined(runs.column("context"), np.uint64)
+        first, last, low = (np.concatenate([np.zeros(0, t), *_unpacked(runs.column(c), t)]) for c, t in (("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
         order = np.argsort(keys, kind="stable")
         keys, first, last, low = keys[order], first[order].astype(np.int64), last[order].astype(np.int64), low[order]
         data, offsets = byte_view(group.column("_text")) if group.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         gone = np.zeros(len(data), bool)
-        for lo, part, cores, known, ids in texts(group) if len(wanted) and group.num_rows else ():
+        for lo, part, cores, known, ids in texts(group) if len(keys) and group.num_rows else ():
             a, b = (np.searchsorted(keys, cores.key[known], side=x) for x in ("left", "right"))
             each = np.repeat(np.arange(len(known)), b - a)
             run = np.arange(len(each)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
@@ -390,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = blocks.groupBy("block").applyInArrow(send_cores, "bucket int, block int, h binary")
     shared = sent.groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, h binary")
     held = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_contexts, "bucket int, block int, low binary, high binary, context binary")
-    runs = held.groupBy("bucket").applyInArrow(compare, "block int, h binary, context binary, first binary, last binary, low binary")
+    runs = held.groupBy("bucket").applyInArrow(compare, "block int, context binary, first binary, last binary, low binary")
     return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(cover, T.StructType(fields))
 
 

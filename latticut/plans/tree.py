@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -190,3 +190,84 @@ def least_tree_cut(tree: DataFrame, samples: DataFrame) -> DataFrame:
         up = here.groupBy("sample", F.col("parent").alias("node")).agg(F.sum(F.least("s", F.col("t") + F.col("weight"))).alias("s"), F.sum(F.least("t", F.col("s") + F.col("weight"))).alias("t"))
         here = checkpointed(tree.where(F.col("level") == level + 1).join(up, "node").select("sample", "node", "parent", "weight", "s", "t"))
     return here.groupBy("sample").agg(F.sum(F.least("s", "t")).alias("cut"))
+
+
+def resized(tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """A tree (level, node, parent, weight) with subtree_size and subtree_volume rolled up from its leaves' degrees (id, degree)."""
+    here = tree.where("level = 0").join(leaves.select(F.col("id").alias("node"), "degree"), "node", "left").select("level", "node", "parent", "weight", F.lit(1).cast("long").alias("subtree_size"), F.coalesce("degree", F.lit(0)).alias("subtree_volume"))
+    out = here
+    for level in range(depth(tree)):
+        sums = here.groupBy(F.col("parent").alias("node")).agg(F.sum("subtree_size").alias("subtree_size"), F.sum("subtree_volume").alias("subtree_volume"))
+        here = checkpointed(tree.where(F.col("level") == level + 1).select("level", "node", "parent", "weight").join(sums, "node").select(out.columns))
+        out = out.unionByName(here)
+    return out
+
+
+def finalized(tree: DataFrame) -> DataFrame:
+    """The tree with one root: several tops get a root -1 above them, by edges of weight 0."""
+    top = depth(tree)
+    tops = tree.where(F.col("level") == top)
+    if tops.count() <= 1:
+        return tree
+    root = tops.agg(F.lit(top + 1).alias("level"), F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("weight"), F.sum("subtree_size").alias("subtree_size"), F.sum("subtree_volume").alias("subtree_volume"))
+    below = tree.withColumns({"parent": F.when(F.col("level") == top, F.lit(-1)).otherwise(F.col("parent")), "weight": F.when(F.col("level") == top, F.lit(0)).otherwise(F.col("weight"))})
+    return below.select(root.columns).unionByName(root)
+
+
+def _below(pairs: DataFrame, level: int, node: int) -> DataFrame:
+    return pairs.where((F.col("alevel") == level) & (F.col("anode") == node)).select("level", "node")
+
+
+def painted(labels: DataFrame, pairs: DataFrame, level: int, node: int, label: int, match: int | None = None, avoid: list[tuple[int, int]] = ()) -> DataFrame:
+    """Labels (level, node, label) with the subtree of a node painted. pairs: the tree's closure.
+
+    match: only where all nodes from there up to the subtree's top have this label; avoid: subtrees that are left out.
+    """
+    stops = _stopped(labels, pairs, match, avoid)
+    under = _below(pairs, level, node)
+    inside = pairs.join(under, ["level", "node"], "left_semi").join(under.select(F.col("level").alias("alevel"), F.col("node").alias("anode")), ["alevel", "anode"], "left_semi")
+    blocked = inside.join(stops, ["alevel", "anode"], "left_semi").select("level", "node").distinct()
+    go = under.join(blocked, ["level", "node"], "left_anti").withColumn("_go", F.lit(label).cast("long"))
+    return checkpointed(labels.join(go, ["level", "node"], "left").select("level", "node", F.coalesce("_go", F.col("label").cast("long")).alias("label")))
+
+
+def _stopped(labels: DataFrame, pairs: DataFrame, match: int | None, avoid: list[tuple[int, int]]) -> DataFrame:
+    """alevel and anode of the nodes at which painting stops."""
+    named = labels.select(F.col("level").alias("alevel"), F.col("node").alias("anode"), "label")
+    other = named.where(F.lit(False) if match is None else F.col("label") != match).select("alevel", "anode")
+    left = labels.sparkSession.createDataFrame(list(avoid), "alevel int, anode bigint").select(F.col("alevel").cast(labels.schema["level"].dataType).alias("alevel"), "anode")
+    return other.unionByName(left)
+
+
+def added_above(values: DataFrame, pairs: DataFrame, level: int, node: int, amount: Column, labels: DataFrame | None = None, match: int | None = None) -> DataFrame:
+    """values (level, node, value) with amount, an expression of value, for the nodes above a node. With labels and match: only up to the first with another label."""
+    up = pairs.where((F.col("level") == level) & (F.col("node") == node) & (F.col("alevel") > level)).select(F.col("alevel").alias("level"), F.col("anode").alias("node"))
+    if match is not None:
+        marked = up.join(labels, ["level", "node"])
+        first = marked.where(F.col("label") != match).agg(F.min("level").alias("_first"))
+        up = marked.crossJoin(F.broadcast(first)).where(F.col("_first").isNull() | (F.col("level") < F.col("_first"))).select("level", "node")
+    return values.join(up.withColumn("_up", F.lit(True)), ["level", "node"], "left").select("level", "node", F.when(F.col("_up"), amount).otherwise(F.col("value")).alias("value"))
+
+
+def bipartition(tree: DataFrame, level: int, node: int, pairs: DataFrame | None = None) -> DataFrame:
+    """id and part of the leaves: 1 below the node, else 0."""
+    return labels_of_cut(tree, [(level, node)], pairs)
+
+
+def tops(tree: DataFrame) -> DataFrame:
+    """level, node and top: the highest node above each, as level and number. Nodes of one top are connected."""
+    pairs = closure(tree)
+    return pairs.groupBy("level", "node").agg(F.max(F.struct("alevel", "anode")).alias("t")).select("level", "node", F.col("t.alevel").alias("top_level"), F.col("t.anode").alias("top"))
+
+
+def connected(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of leaves (s, t) and whether the tree joins them by edges of a weight above 0."""
+    cut = tree.withColumn("parent", F.when(F.col("weight") > 0, F.col("parent")))
+    ends = tops(cut).where("level = 0").select("node", "top_level", "top")
+    one, two = (ends.select(F.col("node").alias(c), F.struct("top_level", "top").alias(f"_{c}")) for c in ("s", "t"))
+    return pairs.join(one, "s").join(two, "t").select("s", "t", (F.col("_s") == F.col("_t")).alias("connected"))
+
+
+def layers(tree: DataFrame) -> DataFrame:
+    """level, size, volume and weight of each level."""
+    return tree.groupBy("level").agg(F.count("*").alias("size"), F.sum("subtree_volume").alias("volume"), F.sum("weight").alias("weight"))

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from latticut.operators import samples, traverse
 from latticut.sources import files, graphs
 
@@ -65,3 +67,28 @@ def test_random_graphs(spark):
     assert graphs.furred(edges, n).count() == edges.count() + n
     sparse = graphs.random_sparse(spark, n)
     assert sparse.where("src >= dst OR src < 0 OR dst >= 60").count() == 0 and graphs.vertices(sparse).count() == n
+
+
+def test_files_are_found_and_converted(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.mtx", "a/x_coord.mtx", "y.chaco", "z_b.mtx", "other.txt"):
+        (tmp_path / name).write_text("3 3 2\n1 2\n3 2\n")
+    assert sorted(r["path"].rpartition("/")[2] for r in graphs.discover(spark, str(tmp_path)).collect()) == ["x.mtx", "y.chaco"]
+    graphs.mtx_to_chaco(spark, str(tmp_path / "a/x.mtx"), 3, str(tmp_path / "out"))
+    assert open(part_file(tmp_path / "out")).read().splitlines() == ["3 2", "2", "1 3", "2"]
+
+
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    n = 3000
+    path = tmp_path / "p.txt"
+    path.write_text("% head\n" + "".join(f"{k * 7 % 13}\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    got = {r["id"]: r["part"] for r in files.read_partition(spark, str(path)).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: k * 7 % 13 for k in range(n)}
+
+
+def test_missing_files_are_errors(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)path"):
+        graphs.read_mtx(spark, str(tmp_path / "none.mtx")).count()

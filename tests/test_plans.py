@@ -4,10 +4,11 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from latticut.operators import cuts
-from latticut.plans import hierarchy, local, refine, tree
+from latticut.operators import cuts, flow, walks
+from latticut.plans import experiments, hierarchy, local, refine, tree
 from latticut.sources import graphs
 
 
@@ -112,9 +113,11 @@ def test_refinement_never_gets_worse_and_heals_a_swap(spark):
     labels = graphs.vertices(edges).select("id", F.when(F.col("id") == 2, 1).when(F.col("id") == 9, 0).otherwise(F.floor(F.col("id") / 6)).cast("long").alias("part"))
     weights = graphs.vertices(edges).select("id", F.col("degree").alias("volume"))
     none = spark.createDataFrame([], "id long")
-    for rows in (1_000_000, 2):
-        got = refine.refine(edges, labels, weights, none, local_rows=rows)
-        assert len({(r["id"] // 6, r["part"]) for r in got.collect()}) == 2, rows
+    for method in ("batches", "moves"):
+        got = refine.refine(edges, labels, weights, none, method=method)
+        assert len({(r["id"] // 6, r["part"]) for r in got.collect()}) == 2, method
+    with pytest.raises(ValueError):
+        refine.refine(edges, labels, weights, none, method="moves", most=2)
     fixed = refine.refine(edges, labels, weights, spark.createDataFrame([(2,)], "id long"))
     assert fixed.where("id = 2").first()["part"] == 1
 
@@ -128,3 +131,53 @@ def test_flow_is_the_least_cut():
         cut = lambda s: sum(c for u, v, c in edges if (u in s) != (v in s))
         assert flow == min(cut({0, *s}) for r in range(n - 1) for s in itertools.combinations(range(1, n - 1), r))
         assert cut(side) == flow
+
+
+def test_components_in_a_task_are_those_of_joins(spark):
+    edges = graphs.cliques(spark, 4, 3, path=True).unionByName(graphs.canonical(spark.createDataFrame([(100 + i, 101 + i) for i in range(20)] + [(200, i) for i in range(201, 220)], "u long, v long")))
+    got = [sorted(map(tuple, hierarchy._components(edges, hierarchy.Params(local_rows=n)).select("id", "comp").collect())) for n in (1_000_000, 2)]
+    assert got[0] == got[1] and {c for _, c in got[0]} == {0, 100, 200}
+
+
+def test_flows_and_terminals(spark):
+    edges = graphs.cliques(spark, 4, 3, path=True)
+    ends = spark.createDataFrame([(0, 0, True), (0, 11, False), (1, 0, True), (1, 1, True), (1, 3, False)], "sample long, id long, source boolean")
+    assert {r["sample"]: r["flow"] for r in flow.max_flows(edges, ends).collect()} == {0: 1.0, 1: 3.0}
+    side = {r["id"] for r in flow.least_cut_sides(edges, ends).where("sample = 0").collect()}
+    assert 0 in side and 11 not in side
+    with pytest.raises(ValueError):
+        flow.max_flows(edges, ends, most=3)
+    wide = flow.with_terminals(edges, spark.range(1), spark.range(11, 12), weighted=False)
+    assert sorted((r["src"], r["dst"], r["w"]) for r in wide.where("src < 0").collect()) == [(-2, 11, 1000), (-1, 0, 1000)]
+    assert flow.without_terminals(wide).count() == edges.count()
+
+
+def test_reports_are_appended(spark, tmp_path):
+    edges = graphs.cliques(spark, 4, 3, path=True)
+    labels = graphs.vertices(edges).select("id", F.floor(F.col("id") / 4).alias("part"))
+    row = experiments.comparison_row(edges, labels, experiments.Evaluation("path", "cliques", 0.5))
+    for _ in range(2):
+        experiments.append_csv(row, f"{tmp_path}/c")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/c").collect()
+    assert len(got) == 2 and got[0].asDict()["Parts"] == "3" and abs(float(got[0]["Value"]) - (2 / 13 + 2 / 14)) < 1e-12
+    assert math.isnan(experiments.comparison_row(edges, labels.withColumn("part", F.col("part") * 2)).first()["Value"])
+    with pytest.raises(Exception, match="no part"):
+        experiments.comparison_row(edges, labels.where("id > 0")).collect()
+    value = spark.range(1).select(F.lit(0.5).alias("value"))
+    assert experiments.hierarchy_row(value, "g", "Greedy", 0.1, 1e-4, 4, 10, 20, 0.4).first()["Parts"] == 4
+    found = spark.createDataFrame([(0, 10, 1.0, 2, 0.5)], "sample long, size long, value double, actual long, ratio double")
+    assert experiments.quality_rows(found, "g", 0.2, 1e-6, 9).columns == ["Graph Name", "Phi", "Potential", "Running Time", "Size", "Value", "Actual", "Ratio"]
+
+
+def test_sweeps_do_not_depend_on_ranges(spark):
+    edges = graphs.lattice(spark, 8)
+    values = graphs.vertices(edges).select("id", (F.col("id") % 2).alias("comp"), ((F.col("id") * 37) % 11).cast("double").alias("x"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, walks.sweep(edges, values).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    again = walks.restarted(values, spark.createDataFrame([(1,)], "comp long"))
+    assert again.join(values.withColumnRenamed("x", "y"), ["id", "comp"]).where("comp = 0 AND x <> y").count() == 0

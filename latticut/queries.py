@@ -10,7 +10,6 @@ from .plans import hierarchy, tree
 from .sources import graphs
 
 _E = f"e AS (SELECT CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey + {graphs.PART_BASE} AS BIGINT) AS dst, count(*) AS w FROM lineitem GROUP BY 1, 2)"
-_SPARSE = _E.replace("GROUP BY 1, 2)", "GROUP BY 1, 2 HAVING count(*) >= 2)")
 _A = "a AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e)"
 _V = "v AS (SELECT src AS id, CAST(sum(w) AS BIGINT) AS degree FROM a GROUP BY src)"
 
@@ -79,21 +78,10 @@ def f5_boundary(spark, d):
 
 
 def t1_components(spark, d):
-    """Of the pairs that occur twice or more, as SQL can follow no more; t1_components_whole has all."""
-    return traverse.components(_edges(spark, d, 2))
-
-
-def t1_components_in_parts(spark, d):
-    """Of the pairs that occur twice or more; t1_components_in_parts_whole has all."""
-    e = _edges(spark, d, 2)
-    return traverse.components(e, _labels(e, 5))
-
-
-def t1_components_whole(spark, d):
     return traverse.components(_edges(spark, d))
 
 
-def t1_components_in_parts_whole(spark, d):
+def t1_components_in_parts(spark, d):
     e = _edges(spark, d)
     return traverse.components(e, _labels(e, 5))
 
@@ -233,13 +221,21 @@ def g11_margulis_fur(spark, d):
     return graphs.furred(graphs.margulis(spark, 30), 900)
 
 
-QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t1_components_whole, t1_components_in_parts_whole, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, g1_uniform_samples, g2_ball, g11_margulis_fur, c13_decompose, c18_hierarchy, r13_normalized_cut)}
+QUERIES = {f.__name__: f for f in (p1_edges, p7_vertices, a9_degree_stats, a1_part_stats, a4_two_way_scores, a5_normalized_cut, c16_contract, r7_gains, f5_boundary, t1_components, t1_components_in_parts, t4_bfs_levels, f2_active_edges, c2_walk_step, c5_potentials, c6_sweep, c6_best_cuts, g7_lattice, g6_clique_path, g10_fur, q1_sparsest_tree_edge, q2_low_conductance_tree_edge, q3_two_way_tree_cut, q4_greedy_tree_cut, q5_dynamic_tree_cut, q9_labels_of_cut, p11_tree_graph, j7_closure, m1_least_tree_cut, g8_margulis, g1_uniform_samples, g2_ball, g11_margulis_fur, c13_decompose, c18_hierarchy, r13_normalized_cut)}
 
 _SWEEP = f"""WITH {_E}, {_A}, {_V}, {_X}, r AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY x, id) AS rank FROM x),
 d AS (SELECT a.src AS id, sum(CASE WHEN y.rank > x.rank THEN w ELSE -w END) AS delta FROM a JOIN r x ON a.src = x.id JOIN r y ON a.dst = y.id WHERE x.comp = y.comp GROUP BY 1),
 sw AS (SELECT r.comp, rank, r.id, CAST(sum(coalesce(delta, 0)) OVER q AS BIGINT) AS cut, CAST(sum(degree) OVER q AS BIGINT) AS vol, sum(degree) OVER (PARTITION BY comp) AS whole, count(*) OVER (PARTITION BY comp) AS size
 FROM r LEFT JOIN d ON r.id = d.id WINDOW q AS (PARTITION BY comp ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
+
+
+def _spread(edges: str, rounds: int = 10) -> str:
+    """Least labels of neighbours, so many times: more than the diameter of these dense graphs."""
+    step = lambda k: f"l{k + 1} AS MATERIALIZED (SELECT x.id, least(x.comp, coalesce(min(y.comp), x.comp)) AS comp FROM l{k} x LEFT JOIN {edges} ON {edges}.src = x.id LEFT JOIN l{k} y ON y.id = {edges}.dst GROUP BY x.id, x.comp)"
+    return ", ".join(["l0 AS (SELECT id, id AS comp FROM v)", *map(step, range(rounds))]) + f" SELECT id, comp FROM l{rounds}"
+
+
 ORACLE_SQL = {
     "p1_edges": f"WITH {_E} SELECT * FROM e",
     "p7_vertices": f"WITH {_E}, {_A}, {_V} SELECT * FROM v",
@@ -250,8 +246,8 @@ ORACLE_SQL = {
     "c16_contract": f"WITH {_E}, {_A}, {_V}, {_l(50)} SELECT ps AS src, pd AS dst, CAST(sum(w) AS BIGINT) AS w FROM b WHERE ps < pd GROUP BY 1, 2",
     "r7_gains": f"WITH {_E}, {_A}, {_V}, {_l(8)}, {_G} SELECT id, part, internal, external, greatest(most, internal) - internal AS gain, best AS best_part FROM g",
     "f5_boundary": f"WITH {_E}, {_A}, {_V}, {_l(8)}, {_S}, {_G}, m AS (SELECT floor(sum(volume) / count(*)) AS mean FROM st) SELECT id, g.part, internal, external FROM g JOIN st ON g.part = st.part, m WHERE external >= internal OR (external > 0 AND volume >= mean)",
-    "t1_components": f"WITH RECURSIVE {_SPARSE}, {_A}, r AS (SELECT src AS id, src AS reach FROM a UNION SELECT r.id, a.dst FROM r JOIN a ON r.reach = a.src) SELECT id, min(reach) AS comp FROM r GROUP BY id",
-    "t1_components_in_parts": f"WITH RECURSIVE {_SPARSE}, {_A}, c AS (SELECT * FROM a WHERE src % 5 = dst % 5), r AS (SELECT src AS id, src AS reach FROM a UNION SELECT r.id, c.dst FROM r JOIN c ON r.reach = c.src) SELECT id, min(reach) AS comp FROM r GROUP BY id",
+    "t1_components": f"WITH {_E}, {_A}, {_V}, {_spread('a')}",
+    "t1_components_in_parts": f"WITH {_E}, {_A}, {_V}, c AS (SELECT * FROM a WHERE src % 5 = dst % 5), {_spread('c')}",
     "t4_bfs_levels": f"WITH RECURSIVE {_E}, {_A}, r AS (SELECT min(src) AS id, CAST(0 AS BIGINT) AS level FROM e UNION SELECT a.dst, level + 1 FROM r JOIN a ON a.src = r.id WHERE level < 12) SELECT id, min(level) AS level FROM r GROUP BY id",
     "f2_active_edges": f"WITH {_E}, {_A} SELECT * FROM a WHERE src % 3 = dst % 3",
     "c2_walk_step": f"WITH {_E}, {_A}, {_V}, {_X}, c AS (SELECT * FROM a WHERE src % 3 = dst % 3), i AS (SELECT c.src, sum(w * x) / sum(w) AS inflow FROM c JOIN x ON c.dst = x.id GROUP BY c.src) SELECT id, comp, round(CASE WHEN inflow IS NULL THEN x ELSE 0.1 * x + 0.9 * inflow END, 6) AS x FROM x LEFT JOIN i ON x.id = i.src",

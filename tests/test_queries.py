@@ -18,14 +18,14 @@ def small(spark, tmp_path_factory):
 
 def test_components_have_pairs_that_occur_once(spark, small):
     path, ids, pairs = small
-    got = {r["id"]: r["comp"] for r in queries.QUERIES["t1_components_whole"](spark, path).collect()}
+    got = {r["id"]: r["comp"] for r in queries.QUERIES["t1_components"](spark, path).collect()}
     assert got == {i: i % graphs.PART_BASE // 4 * 4 for i in ids}
     comp = {i: i for i in ids}
     for _ in ids:
         for s, p in pairs:
             if s % 5 == (p + graphs.PART_BASE) % 5:
                 comp[s] = comp[p + graphs.PART_BASE] = min(comp[s], comp[p + graphs.PART_BASE])
-    assert {r["id"]: r["comp"] for r in queries.QUERIES["t1_components_in_parts_whole"](spark, path).collect()} == comp
+    assert {r["id"]: r["comp"] for r in queries.QUERIES["t1_components_in_parts"](spark, path).collect()} == comp
 
 
 def test_decomposition_hierarchy_and_cut_have_pairs_that_occur_once(spark, small):

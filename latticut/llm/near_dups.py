@@ -41,8 +41,9 @@ MISSED = 1e-6
 #: Bits of a parity sketch, in words of 64.
 PARITY = 16
 #: Pairs are made of sets in a bucket of FEW at most, or that share an item which FEW of them have at most. Sets with a more frequent item
-#: are compared in blocks of BLOCK sets, and no pairs but links are made; both ways find the same links.
-FEW, BLOCK = 24, 256
+#: are compared in blocks of BLOCK sets with BLOCK_ITEMS items in all at most, as much as a task can hold, since
+#: sets are sent as often as there are blocks; no pairs but links are made. Both ways find the same links.
+FEW, BLOCK, BLOCK_ITEMS = 24, 1024, 1 << 20
 
 
 def band_rows(inter: int, union: int) -> int:
@@ -215,7 +216,7 @@ def _prefixes(sets: DataFrame, inter: int, union: int, rounds: int = 3) -> DataF
     for left in range(rounds, 0, -1):
         # one row with a bounded array
         ordered = F.concat(F.array_except("items", "last"), F.array_intersect("items", "last"))
-        found = written(sets.crossJoin(F.broadcast(last)).select("node", "component", F.explode(F.slice(ordered, 1, length)).alias("item")), "prefixes")
+        found = written(sets.crossJoin(F.broadcast(last)).select("node", "n", "component", F.explode(F.slice(ordered, 1, length)).alias("item")), "prefixes")
         often = found.groupBy("item").agg(F.count("*").alias("count")).where(F.col("count") > FEW).orderBy(F.desc("count"), "item").limit(MOST_HOT // rounds)
         if left == 1 or often.isEmpty():
             return found
@@ -223,12 +224,12 @@ def _prefixes(sets: DataFrame, inter: int, union: int, rounds: int = 3) -> DataF
 
 
 def _linked_in_blocks(rows: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """Links (a, b) between sets of one item and different components, from rows of item, count, node, component.
+    """Links (a, b) between sets of one item and different components, from rows of item, count, whole (items of all its sets), node, component.
 
     An item's sets are dealt to blocks, and each two blocks meet in one group, which compares all of
     their pairs and returns only links that connect what is not connected yet.
     """
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("whole") / BLOCK_ITEMS)).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = dealt.select("item", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component").join(sets.select("node", "items"), "node")
 
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = written(attached(named, split.select("band", "_m"), ["band"], "_m", named.count(), "inner"), "split")
     open_ = inside.where(F.col("_m") > FEW).select("node", "component").distinct().join(light.select("node", "n"), "node")
     prefixes = _prefixes(open_.join(sets, "node"), inter, union)
-    by_item = prefixes.groupBy("item").agg(F.count("*").alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    by_item = prefixes.groupBy("item").agg(F.count("*").alias("count"), F.sum("n").alias("whole"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
     shared = written(attached(prefixes, by_item, ["item"], "count", prefixes.count(), "inner"), "shared")
     few = shared.where(F.col("count") <= FEW).select("item", "node", "component").unionByName(inside.where(F.col("_m") <= FEW).select(F.col("band").alias("item"), "node", "component"))
     x, y = (few.select("item", *[F.col(c).alias(f"{s}{c}") for c in ("node", "component")]) for s in ("x", "y"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,24 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def handed_back() -> None:
+    """Gives what this worker has freed back to the system, as idle workers live on beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which memory is handed back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        handed_back()
+
+    return whole
+
+
 def _deleted_at_end(spark: SparkSession, path: str) -> None:
     """Hadoop deletes the path when the driver ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

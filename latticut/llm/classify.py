@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features, linear
-from .base import ragged, small_batches, text_column
+from .base import ragged, small_batches, text_column, thrifty
 
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -53,7 +53,7 @@ def training_rows(docs: DataFrame, sample: DataFrame, classes: list[str], of: Fe
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(classes) + 1], ragged(flat, np.array([len(f) for f in found], np.int64), pa.int32())], names=[id_col, *classes, "features"])
 
     schema = ", ".join([f"{id_col} long", *[f"{c} int" for c in classes], "features array<int>"])
-    got = rows.mapInArrow(run, schema).toArrow()
+    got = rows.mapInArrow(thrifty(run), schema).toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got.column(0)[k].as_py(), got.column("features")[k].as_py()))
     numbers = [np.asarray(got.column("features")[k].as_py(), np.int64) for k in order]
     return numbers, {c: np.array([got.column(c)[k].as_py() == 1 for k in order], bool) for c in classes}
@@ -73,7 +73,7 @@ def score(docs: DataFrame, of: Features, apply: Callable[[np.ndarray, np.ndarray
             got = apply(*of(batch.column(batch.num_columns - 1)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(g, pa.float64()) for g in got]], names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Column | None = None, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> linear.NbSvm:

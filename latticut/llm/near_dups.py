@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import BASE, Rolling, byte_view, checkpointed, lowered, mixed, ragged, small_batches, text_column, words_of, written
+from .base import BASE, Rolling, byte_view, checkpointed, handed_back, lowered, mixed, ragged, small_batches, text_column, thrifty, words_of, written
 from .skew import MOST_HOT, attached, salted
 
 BINS = 120
@@ -44,6 +44,8 @@ PARITY = 16
 #: are compared in blocks of BLOCK sets with BLOCK_ITEMS items in all at most, as much as a task can hold, since
 #: sets are sent as often as there are blocks; no pairs but links are made. Both ways find the same links.
 FEW, BLOCK, BLOCK_ITEMS = 24, 1024, 1 << 20
+#: Items that a block is compared by at once.
+COLUMNS = 1024
 
 
 def band_rows(inter: int, union: int) -> int:
@@ -153,7 +155,7 @@ def signatures(docs: DataFrame, width: int, a_band: int, id_col: str, text_col:
 
     lists = T.ArrayType(T.LongType())
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f1", "f2")], T.StructField("parity", lists), T.StructField("bands", lists)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def _key(doc: Column, text: Column) -> Column:
@@ -175,7 +177,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged(_signed(flat), counts, pa.int64())], names=["node", "items"]).filter(pa.array(same))
 
     # rows that repeat a key have their own texts, or the same one again
-    return rows.select("node", "text", "f1", "f2").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return rows.select("node", "text", "f1", "f2").mapInArrow(thrifty(run), "node long, items array<long>").dropDuplicates(["node"])
 
 
 def _likely(n: str, m: str, p: str, q: str, inter: int, union: int) -> Column:
@@ -242,15 +244,11 @@ def _linked_in_blocks(rows: DataFrame, sets: DataFrame, inter: int, union: int)
         shared = np.zeros((len(node), len(node)), np.float32)
         order = np.argsort(number, kind="stable")
         number, owner = number[order], owner[order]
-        for start in range(0, int(number[-1]) + 1, 4096):
-            a, b = np.searchsorted(number, [start, start + 4096])
-            part = np.zeros((len(node), 4096), np.float32)
+        for start in range(0, int(number[-1]) + 1, COLUMNS):
+            a, b = np.searchsorted(number, [start, start + COLUMNS])
+            part = np.zeros((len(node), COLUMNS), np.float32)
             part[owner[a:b], number[a:b] - start] = 1
             shared += part @ part.T
-        linked = union * shared >= inter * (counts[:, None] + counts[None, :] - shared)
-        linked &= component[:, None] != component[None, :]
-        if own.min() != own.max():
-            linked &= own[:, None] != own[None, :]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -258,13 +256,22 @@ def _linked_in_blocks(rows: DataFrame, sets: DataFrame, inter: int, union: int)
                 x = parent[x]
             return x
 
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            x, y = root(int(component[i])), root(int(component[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        out, two = [], own.min() != own.max()
+        # row by row, so that no second matrix is made
+        for i in range(len(node) - 1):
+            after = slice(i + 1, None)
+            linked = union * shared[i, after] >= inter * (counts[i] + counts[after] - shared[i, after])
+            linked &= component[after] != component[i]
+            if two:
+                linked &= own[after] != own[i]
+            for j in np.flatnonzero(linked) + i + 1:
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
         table = np.array(out, np.int64).reshape(-1, 2)
+        del shared, number, owner, order
+        handed_back()
         return pa.table({"a": pa.array(table[:, 0]), "b": pa.array(table[:, 1])})
 
     return keyed.select("item", "lo", "hi", "own", "node", "component", "items").groupBy("item", "lo", "hi").applyInArrow(run, "a long, b long")

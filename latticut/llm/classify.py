@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import features, linear
-from .base import ragged, small_batches, text_column, thrifty
+from .base import handed_back, ragged, small_batches, text_column, thrifty
 
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -54,9 +54,15 @@ def training_rows(docs: DataFrame, sample: DataFrame, classes: list[str], of: Fe
 
     schema = ", ".join([f"{id_col} long", *[f"{c} int" for c in classes], "features array<int>"])
     got = rows.mapInArrow(thrifty(run), schema).toArrow()
-    order = sorted(range(got.num_rows), key=lambda k: (got.column(0)[k].as_py(), got.column("features")[k].as_py()))
-    numbers = [np.asarray(got.column("features")[k].as_py(), np.int64) for k in order]
-    return numbers, {c: np.array([got.column(c)[k].as_py() == 1 for k in order], bool) for c in classes}
+    # the sample has an id once
+    order = np.argsort(got.column(0).to_numpy(), kind="stable")
+    lists = got.column("features").combine_chunks()
+    flat, at = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+    numbers = [flat[at[k] : at[k + 1]] for k in order]
+    found = {c: got.column(c).to_numpy()[order] == 1 for c in classes}
+    del got, lists
+    handed_back()
+    return numbers, found
 
 
 def score(docs: DataFrame, of: Features, apply: Callable[[np.ndarray, np.ndarray, int], list[np.ndarray]], names: list[str], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -122,6 +122,29 @@ def test_refinement_never_gets_worse_and_heals_a_swap(spark):
     assert fixed.where("id = 2").first()["part"] == 1
 
 
+def test_batches_in_a_task_are_those_of_joins_and_score_no_trial_on_edges(spark, monkeypatch):
+    calls, sums = [], refine.part_sums
+    monkeypatch.setattr(refine, "part_sums", lambda *a: calls.append(a) or sums(*a))
+    draw, n, taken = random.Random(1), 18, [3]
+    pairs = [(a, b, draw.randint(1, 3)) for a in range(n) for b in range(a) if draw.random() < (0.6 if a % 3 == b % 3 else 0.1)]
+    edges = spark.createDataFrame([(b, a, w) for a, b, w in pairs], "src long, dst long, w long")
+    labels = spark.createDataFrame([(i, draw.choice((10, 20, 30))) for i in range(n)], "id long, part long")
+    weights = graphs.vertices(edges).select("id", F.col("degree").alias("volume"))
+    taboo = spark.createDataFrame([(i,) for i in taken], "id long")
+    got = []
+    for rows in (8_000_000, 2):
+        calls.clear()
+        got.append({r["id"]: r["part"] for r in refine.refine(edges, labels, weights, taboo, local_rows=rows).collect()})
+        assert len(calls) == 1
+    was = {r["id"]: r["part"] for r in labels.collect()}
+    volume = {r["id"]: r["volume"] for r in weights.collect()}
+    cost = lambda part: sum(sum(w for a, b, w in pairs if (part[a] == p) != (part[b] == p)) / sum(v for i, v in volume.items() if part[i] == p) for p in (10, 20, 30))
+    assert got[0] == got[1] and cost(got[0]) < cost(was) - 0.1 and all(got[0][i] == was[i] for i in taken)
+    # no single move is left that would lower the cost by much
+    best = min(cost(got[0] | {i: p}) for i in range(n) if i not in taken for p in (10, 20, 30))
+    assert best > 0.99 * cost(got[0])
+
+
 def test_flow_is_the_least_cut():
     draw = random.Random(3)
     for _ in range(30):
